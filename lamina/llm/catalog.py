@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lamina.llm.pii import op8_pii
 from lamina.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {}
