@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lamina.llm.langid import op2_langid
 from lamina.llm.mixing import op9_mixing
 from lamina.llm.pii import op8_pii
 from lamina.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_langid": op2_langid,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
 }
