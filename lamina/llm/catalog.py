@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lamina.llm.decontaminate import op7_decontamination
 from lamina.llm.langid import op2_langid
 from lamina.llm.mixing import op9_mixing
 from lamina.llm.pii import op8_pii
@@ -10,6 +11,7 @@ from lamina.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_langid": op2_langid,
+    "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
 }
