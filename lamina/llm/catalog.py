@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lamina.llm.decontaminate import op7_decontamination
+from lamina.llm.jaccard_join import op10_jaccard_join
 from lamina.llm.langid import op2_langid
 from lamina.llm.mixing import op9_mixing
 from lamina.llm.pii import op8_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
