@@ -374,16 +374,45 @@ def joined(docs: DataFrame) -> DataFrame:
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs under the given names with the key of each row's set as last column."""
+    out = docs.toDF(*names)
+    at = names.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            keys = [_keys(*sets_of(text.slice(a, b - a))).view(np.int64) for a, b in pieces(text)]
+            k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], names=[*batch.schema.names, "k"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    return out.mapInArrow(add, f"{kept}, k long")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that link with a row of a lesser id, directly or not.
+    """docs with one row of each component: the one with the least doc_id (null comes last).
 
-    Of rows with the same doc_id and set one stays.
+    Of several such rows one stays. Rows without words all stay.
     """
-    found = joined(docs).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    dropped = found.where(F.col("_id") != F.col("component_id")).select("_id").distinct()
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rows = cut(described(docs), "described")
+    classes, roots = linked_classes(docs, rows)
+    rooted = classes.select("k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    held = rows.where("n > 0").groupBy("doc_id", "k").agg(F.count("*").alias("times")).join(rooted, "k")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    stays = held.groupBy("root").agg(F.min(order).alias("s")).select("root", "s.doc_id", "s.k").toDF("root", "sid", "sk")
+    held = cut(
+        held.join(stays, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk")))
+        .where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "stays"), "held"
+    )
+    bound = F.broadcast if held.count() <= BROADCAST_ROWS else lambda df: df
+    names = [{"text": "text", "doc_id": "doc_id"}.get(c, f"_{i}") for i, c in enumerate(docs.columns)]
+    keyed = _keyed(docs, names)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))
+    found = keyed.join(bound(held), same, "left")
+    once = found.where("stays is null").select(*names)
+    repeated = found.where("stays").dropDuplicates(["doc_id", "k"]).select(*names)
+    return once.unionAll(repeated).toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, every span of ``text`` replaced by its kind in brackets; null stays null."""
+    """docs, every span of ``text`` replaced by its kind in brackets; null stays null.
+
+    A column n_chars is kept equal to the new length.
+    """
     placed = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     spans = F.array_sort(F.flatten(F.array(*(F.transform(F.col(f"pii_{k.name}"), placed) for k in KINDS))))
 
@@ -137,10 +140,13 @@ def redact(docs: DataFrame) -> DataFrame:
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    columns = docs.columns
-    return with_spans(docs).select(
-        *(F.when(F.size(spans) > 0, folded).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns)
-    )
+    # the whole table under names that clash with none of the spans'
+    plain = [f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
+    text = F.when(F.size(spans) > 0, folded).otherwise(F.col("text"))
+    done = with_spans(docs.toDF(*plain)).select(*(text.alias("text") if c == "text" else F.col(c) for c in plain)).toDF(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
