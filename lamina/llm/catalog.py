@@ -7,11 +7,13 @@ from lamina.llm.jaccard_join import op10_jaccard_join
 from lamina.llm.langid import op2_langid
 from lamina.llm.mixing import op9_mixing
 from lamina.llm.pii import op8_pii
+from lamina.llm.quality import op3_quality
 from lamina.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
