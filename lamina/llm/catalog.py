@@ -9,11 +9,13 @@ from lamina.llm.mixing import op9_mixing
 from lamina.llm.pii import op8_pii
 from lamina.llm.quality import op3_quality
 from lamina.llm.token_counts import op1_token_counts
+from lamina.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,

@@ -1,7 +1,7 @@
 """Operator 3: quality rules with an isolation forest on rule statistics.
 
 One map-only pass computes counts and shares for every whole text (words,
-symbols, repeated lines, repeated word windows, cases, digits, lengths). The
+symbols, repeated lines, repeated word windows, cases, marks, lengths). The
 base rules reject short and repetitive texts. The method's verdict comes from
 an isolation forest on the statistics: random splits isolate odd documents in
 few steps, so a short mean path is a high anomaly score. The threshold on that
@@ -42,12 +42,10 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
 _MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "line_words", "distinct_share"]
+FEATURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "line_words", "distinct_share"]
 
 
 def statistics(text: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -102,7 +100,7 @@ def statistics(text: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     words, letters = np.maximum(n, 1), np.maximum(chars, 1)
     features = np.stack([
         chars / words, symbols / letters, dup / np.maximum(lines, 1), repeat / words, per(_UPPER[raw]) / letters,
-        per(_DIGIT[raw]) / letters, per(_MARK[raw]) / letters, np.log1p(n / np.maximum(lines, 1)), distinct / words / np.sqrt(1 / words + 0.02),
+        per(_MARK[raw]) / letters, np.log1p(n / np.maximum(lines, 1)), distinct / words / np.sqrt(1 / words + 0.02),
     ], axis=1) if rows else np.zeros((0, len(FEATURES)))
     return dict(zip(COUNTS, (n, chars, symbols, dup, repeat), strict=True)), features
 
