@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lamina.llm.decontaminate import op7_decontamination
+from lamina.llm.html_text import op6_html_text
 from lamina.llm.jaccard_join import op10_jaccard_join
 from lamina.llm.langid import op2_langid
 from lamina.llm.mixing import op9_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
