@@ -11,11 +11,13 @@ from lamina.llm.pii import op8_pii
 from lamina.llm.quality import op3_quality
 from lamina.llm.token_counts import op1_token_counts
 from lamina.llm.toxicity import op5_toxicity
+from lamina.llm.warc import op4_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
