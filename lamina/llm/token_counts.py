@@ -115,22 +115,24 @@ def separator_scan(
                 for number, at in enumerate(range(0, len(ids), block)):
                     part = ids[at : at + block]
                     seps = np.flatnonzero(part == eod) + at
-                    # where a document begins; its head may run into the next block
-                    starts = seps + 1 if at else np.concatenate(([0], seps + 1))
-                    heads = [h for h in (ids[s : s + header].tolist() for s in starts) if len(h) == header]
-                    open_end = at + block >= len(ids) and part[-1] != eod
+                    # a separator at -1 opens the file; a document's head may run into the next block
+                    opens = seps if at else np.concatenate(([-1], seps))
+                    heads = [ids[s + 1 : s + 1 + header].tolist() for s in opens]
+                    ends = np.append(seps, len(ids)) if at + block >= len(ids) and part[-1] != eod else seps
+                    carried = [(None, None)] if at else []
+                    starts = [*carried, *zip(opens.tolist(), heads, strict=True)][: len(ends)]
                     yield pd.DataFrame({
                         "file": [file], "block": [number], "n": [len(seps)],
-                        "last": [{"at": int(seps[-1]), "head": heads[-1] if len(heads) == len(starts) else []} if len(seps) else None],
-                        "ends": [np.append(seps, len(ids)) if open_end else seps], "heads": [heads], "open_end": [open_end],
+                        "last": [{"at": int(opens[-1]), "head": heads[-1]} if len(opens) else None],
+                        "docs": [[{"at": s, "head": h, "end": int(e), "closed": e < len(ids)} for (s, h), e in zip(starts, ends, strict=True)]],
                     })
 
     blocks = files.mapInPandas(
         scan,
-        "file string, block long, n long, last struct<at: long, head: array<int>>, ends array<long>, "
-        "heads array<array<int>>, open_end boolean",
+        "file string, block long, n long, last struct<at: long, head: array<int>>, "
+        "docs array<struct<at: long, head: array<int>, end: long, closed: boolean>>",
     )
-    # a row for each block, read three times below
+    # a row for each block, read twice below
     blocks = cut(blocks.withColumn("chunk", F.floor(F.col("block") / chunk)), "blocks")
     # A block's own separators give the start of every document that ends in it
     # but the first, for which the last separator of the blocks before is carried.
@@ -140,24 +142,14 @@ def separator_scan(
     sums = sums.select(
         "file", "chunk", F.coalesce(F.sum("cn").over(outer), F.lit(0)).alias("n_above"), F.max("cl").over(outer).alias("l_above")
     )
-    ended = (
-        blocks.withColumn("base", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .withColumn("l_in", F.max("last").over(inner)).join(sums, ["file", "chunk"])
-        .withColumn("before", F.coalesce("l_in", "l_above"))
-        .withColumn("base", F.col("base") + F.col("n_above"))
-        .select("*", F.posexplode("ends").alias("k", "end"))
+    known = blocks.withColumn("n_in", F.coalesce(F.sum("n").over(inner), F.lit(0))).withColumn("l_in", F.max("last").over(inner))
+    known = known.join(sums, ["file", "chunk"]).select(
+        "file", (F.col("n_in") + F.col("n_above")).alias("base"), F.coalesce("l_in", "l_above").alias("before"), F.posexplode("docs").alias("k", "doc")
     )
-    own = F.when(F.col("block") == 0, F.col("k")).otherwise(F.col("k") - 1)  # index of the document's head in heads
-    carried = (F.col("k") == 0) & (F.col("block") > 0)
-    start = F.when(F.col("k") > 0, F.expr("get(ends, k - 1)") + 1).otherwise(F.coalesce(F.col("before.at") + 1, F.lit(0)))
-    first = F.col("before").isNull() & carried  # the file's first document runs over whole blocks
-    head = F.when(carried, F.col("before.head")).otherwise(F.get("heads", own))
-    opened = blocks.where("block = 0").select("file", F.get("heads", F.lit(0)).alias("file_head"))
-    ended = ended.join(opened, "file")
-    return ended.select(
-        "file", (F.col("base") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start - header).alias("n_tokens"),
-        F.when(first, F.col("file_head")).otherwise(head).alias("head"),
-        (~(F.col("open_end") & (F.col("k") == F.size("ends") - 1))).alias("closed"),
+    opened = F.coalesce("doc.at", "before.at")
+    return known.select(
+        "file", (F.col("base") + F.col("k")).alias("ordinal"), (opened + 1).alias("start"),
+        (F.col("doc.end") - opened - 1 - header).alias("n_tokens"), F.coalesce("doc.head", "before.head").alias("head"), "doc.closed",
     )
 
 
