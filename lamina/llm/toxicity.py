@@ -1,10 +1,11 @@
 """Operator 5: toxicity by a linear classifier on character n-grams.
 
 Features are the n-grams (3 to 5 code points of lower-cased text, all but
-letters and digits as one blank) that a text holds, hashed to ``BITS`` bits and
-counted once per text. As in naive Bayes support vector machines each feature is
-scaled by its log-count ratio between the classes; logistic regression is then
-trained on the scaled features. A score is the logistic function of the sum.
+letters and digits as one blank) of a text, hashed to ``BITS`` bits; a value is
+the n-gram's count over the text's length, so a long text is not toxic for one
+chance hit. As in naive Bayes support vector machines each feature is scaled by
+its log-count ratio between the classes; logistic regression is then trained on
+the scaled features. A score is the logistic function of the sum.
 
 Learning uses at most ``SAMPLE`` labelled rows (those with the least hashes of
 doc_id; the bound is a parameter) out of those whose hash remainder is not 0.
@@ -35,8 +36,8 @@ from lamina.llm.storage import cut, table
 from lamina.llm.vectors import code_points, mix, pieces
 
 SHORTEST, LONGEST, BITS = 3, 5, 22
-SAMPLE, FEATURES, LEAST_TEXTS = 20_000, 40_000, 3
-SMOOTH, PENALTY, STEPS = 0.5, 0.02, 400
+SAMPLE, FEATURES, LEAST_TEXTS = 10_000, 20_000, 5
+SCALE, SMOOTH, PENALTY, STEPS = 50.0, 0.2, 1e-3, 400
 
 
 @dataclass
@@ -75,85 +76,101 @@ def features(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def _once(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(row << BITS | key)
-    return both >> BITS, both & ((1 << BITS) - 1)
-
-
-def _fit(texts: list[np.ndarray], toxic: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(keys, weights, bias) for texts given as distinct features."""
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    key = np.concatenate(texts)
-    at = np.minimum(np.searchsorted(usable, key), len(usable) - 1)
-    there = usable[at] == key
-    row, col = row[there], at[there]
-    p = SMOOTH + np.bincount(col[toxic[row] == 1], minlength=len(usable))
-    q = SMOOTH + np.bincount(col[toxic[row] == 0], minlength=len(usable))
-    # the log-count ratio: shares of texts of a class that have the n-gram
-    ratio = np.log(p / (toxic.sum() + 2 * SMOOTH)) - np.log(q / ((1 - toxic).sum() + 2 * SMOOTH))
-    if len(usable) > FEATURES:
-        telling = np.sort(np.argsort(-np.abs(ratio) * np.sqrt(p + q), kind="stable")[:FEATURES])
-        place = np.full(len(usable), -1)
-        place[telling] = np.arange(len(telling))
-        row, col = row[place[col] >= 0], place[col][place[col] >= 0]
-        usable, ratio = usable[telling], ratio[telling]
+def rates(points: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, rate): the distinct features of each row, or those wanted, by their share."""
+    row, key = features(points, offsets)
+    length = np.maximum(np.diff(offsets), 1)
+    if wanted is not None:
+        hit = wanted[key]
+        row, key = row[hit], key[hit]
+    both, count = np.unique(row << BITS | key, return_counts=True)
+    row = both >> BITS
+    return row, both & ((1 << BITS) - 1), count / length[row]
+
+
+def _fit(keys: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, usable: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights of usable, bias) for texts given as features out of usable and their rates."""
+    row = np.repeat(np.arange(len(keys)), [len(t) for t in keys])
+    col, value = np.searchsorted(usable, np.concatenate(keys)), np.concatenate(values) * SCALE
     # full-batch Adam on the penalised logistic loss, classes weighted alike
-    weight = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1))
-    w, b = np.zeros(len(usable)), 0.0
+    weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+    scaled = value * ratio[col]
+    w, b = np.full(len(usable), 0.1), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    scaled = ratio[col]
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, weights=scaled * w[col], minlength=len(texts)) + b
+        z = np.bincount(row, weights=scaled * w[col], minlength=len(keys)) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
-        gw = np.bincount(col, weights=scaled * g[row], minlength=len(w)) + PENALTY * w / len(w) ** 0.5
+        gw = np.bincount(col, weights=scaled * g[row], minlength=len(w)) + PENALTY * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w -= 0.01 * (m / c1) / (np.sqrt(v / c2) + 1e-9)
-        b -= 0.01 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return usable, w * ratio, b
+        b -= 0.03 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
+    return w * ratio * SCALE, b
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     known = known.where(F.col("_toxic").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 5 != 0))
-    known = cut(known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample), "labelled")
-    shares = known.agg(F.count("*"), F.sum("_toxic")).first()
-    if not shares[0] or shares[1] in (0, shares[0]):
-        share = (shares[1] or 0) / max(shares[0], 1)
-        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if share == 1 else -30.0)
-    # ``sample`` rows of two numbers
+    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    # ``sample`` rows of two numbers; a doc_id with several texts counts with the least
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("_id", "_toxic", "text")
+    rows = cut(rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).repartition(16, "_id"), "labelled")
+    shares = rows.agg(F.count("*"), F.sum("_toxic")).first()
+    bad, good = shares[1] or 0, shares[0] - (shares[1] or 0)
+    if not bad or not good:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if bad else -30.0)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((2, 1 << BITS), dtype=np.float32), np.zeros(1 << BITS, dtype=np.int32)
+        for batch in batches:
+            text, toxic = batch.column(2), batch.column(1).to_numpy()
+            for a, b in pieces(text):
+                row, key, value = rates(*code_points(text.slice(a, b - a)))
+                of = toxic[a:b][row]
+                for c in (0, 1):
+                    np.add.at(total[c], key[of == c], value[of == c].astype(np.float32))
+                np.add.at(seen, key, 1)
+        key = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.astype(np.int32)), pa.array(total[0, key]), pa.array(total[1, key]), pa.array(seen[key])], names=["key", "good", "bad", "n"]
+        )
+
+    # the log-count ratio, over mean rates in the texts of a class
+    sums = rows.mapInArrow(add_up, "key int, good float, bad float, n int").groupBy("key").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("n").alias("n")
+    ).where(F.col("n") >= LEAST_TEXTS)
+    ratio = F.log((SMOOTH + F.col("bad") * SCALE) / bad) - F.log((SMOOTH * good / bad + F.col("good") * SCALE) / good)
+    best = sums.select("key", ratio.alias("ratio")).orderBy(F.desc(F.abs("ratio")), "key").limit(FEATURES).collect()
+    best.sort(key=lambda r: r.key)
+    usable, ratios = np.array([r.key for r in best], dtype=np.int64), np.array([r.ratio for r in best])
+    if not len(usable):
+        return Model(usable, ratios, float(np.log(bad / good)))
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[usable] = True
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(2)
             for a, b in pieces(text):
-                row, key = _once(*features(*code_points(text.slice(a, b - a))))
-                ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+                row, key, value = rates(*code_points(text.slice(a, b - a)), wanted)
+                ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.astype(np.int32)))],
-                    names=["id", "toxic", "keys"],
-                )
-
-    made = cut(rows.mapInArrow(make, "id long, toxic int, keys array<int>"), "features")
-    # a doc_id with several rows counts once
-    made = cut(made.groupBy("id", "toxic").agg(F.min_by("keys", F.size("keys")).alias("keys")), "once")
-    common = made.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= LEAST_TEXTS)
-    usable = np.array(sorted(r.key for r in common.select("key").collect()), dtype=np.int64)  # 2 ** BITS numbers at most
-    if not len(usable):
-        return Model(usable, np.zeros(0), float(np.log(shares[1] / (shares[0] - shares[1]))))
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(key.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))],
+                    names=["id", "toxic", "keys", "rates"],
+                )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        keys, weights, bias = _fit([np.asarray(k, dtype=np.int64) for k in pdf["keys"]], pdf["toxic"].to_numpy(), usable)
-        return pd.DataFrame({"keys": [keys.astype(np.int32)], "weights": [weights], "bias": [bias]})
+        keys, values = ([np.asarray(x, dtype=kind) for x in pdf[c]] for c, kind in (("keys", np.int64), ("rates", float)))
+        weights, bias = _fit(keys, values, pdf["toxic"].to_numpy(), usable, ratios)
+        return pd.DataFrame({"weights": [weights], "bias": [bias]})
 
     # the bounded sample is one group
-    got = made.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "keys array<int>, weights array<double>, bias double").first()
-    return Model(np.asarray(got["keys"], dtype=np.int64), np.asarray(got["weights"]), float(got["bias"]))
+    made = rows.mapInArrow(make, "id long, toxic int, keys array<int>, rates array<float>").withColumn("all", F.lit(0))
+    got = made.groupBy("all").applyInPandas(fit, "weights array<double>, bias double").first()
+    return Model(usable, np.asarray(got["weights"]), float(got["bias"]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -165,10 +182,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             text = batch.column(1)
             for a, b in pieces(text):
-                row, key = features(*code_points(text.slice(a, b - a)))
-                hit = filter_[key]
-                row, key = _once(row[hit], key[hit])
-                z = model.bias + np.bincount(row, weights=weights[np.searchsorted(model.keys, key)], minlength=b - a)
+                row, key, value = rates(*code_points(text.slice(a, b - a)), filter_)
+                z = model.bias + np.bincount(row, weights=value * weights[np.searchsorted(model.keys, key)], minlength=b - a)
                 value = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(value)], names=["doc_id", "score"])
 
