@@ -85,6 +85,8 @@ def grams(points: np.ndarray, offsets: np.ndarray, longest: int = LONGEST) -> It
         inner = np.ones(m, dtype=bool)
         for k in range(1, n - 1):  # blanks stand at the ends alone
             inner &= text[k : k + m] != _BLANK
+        if n == 2:
+            inner &= (text[:m] != _BLANK) | (text[1:] != _BLANK)
         ok = inner & ((of == doc[:m]) | (text[:m] == _BLANK)) if n > 1 else text != _BLANK
         yield of[ok], key[ok]
 
