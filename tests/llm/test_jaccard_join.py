@@ -112,5 +112,5 @@ def test_components_of_chains_and_stars(spark):
 def test_candidates_skip_pairs_of_probes():
     s = np.array([1, 1, 1, 2, 2], dtype=np.uint64)
     k = np.array([2 << 1, 3 << 1 | 1, 4 << 1 | 1, 5 << 1 | 1, 6 << 1 | 1], dtype=np.uint64)
-    kind, a, b = candidates_in(s, k)
-    assert kind.tolist() == [0, 0] and a.tolist() == [2, 2] and b.tolist() == [3, 4]
+    kind, a, b, times = candidates_in(s, k)
+    assert times.tolist() == [1, 1] and kind.tolist() == [0, 0] and a.tolist() == [2, 2] and b.tolist() == [3, 4]
