@@ -18,8 +18,8 @@ up to ``SMALL`` sets; in larger ones each set with the first (linear, not
 quadratic). A set that has more agreeing parts for sure than it has large
 buckets needs none of them. For the others (members of large groups of near
 copies, mostly) the rarest of their large buckets are compared component by
-component until each has one component or all its pairs are tested, so nothing
-is lost and nothing is capped.
+component, and what is then still apart by a prefix filter over those sets
+alone, so nothing is lost and nothing is capped.
 
 Candidates are verified on the whole sets. Pairs already in one component are
 not verified: the result (classes and components) does not need them.
@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.components import components
@@ -192,8 +192,8 @@ def _packed(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(emit, "range long, block binary")
 
 
-def candidates_in(signature: np.ndarray, key: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kind, a, b): kind 0 are pairs of keys, kind 1 members b (key and role) of large bucket a."""
+def candidates_in(signature: np.ndarray, key: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, a, b, times): kind 0 are pairs of keys that meet in so many buckets, kind 1 members b (key and role) of large bucket a."""
     order = np.lexsort((key, signature))
     s, k = signature[order], key[order]
     new = np.ones(len(s), dtype=bool)
@@ -224,9 +224,13 @@ def candidates_in(signature: np.ndarray, key: np.ndarray, small: int = SMALL) ->
     pa_, pb = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
     low, high = np.minimum(pa_, pb), np.maximum(pa_, pb)
     keep = low != high
-    pairs = np.unique(np.stack([low[keep], high[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
-    kind = np.concatenate((np.zeros(len(pairs), np.int32), np.ones(len(many), np.int32)))
-    return kind, np.concatenate((pairs[:, 0], s[many])), np.concatenate((pairs[:, 1], k[many]))
+    low, high = low[keep], high[keep]
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.zeros(0, np.int64)
+    times = np.concatenate((np.diff(np.append(first, len(low))), np.ones(len(many), np.int64)))
+    kind = np.concatenate((np.zeros(len(first), np.int32), np.ones(len(many), np.int32)))
+    return kind, np.concatenate((low[first], s[many])), np.concatenate((high[first], k[many])), times
 
 
 def _candidates(packed: DataFrame, ranges: int) -> DataFrame:
@@ -237,12 +241,12 @@ def _candidates(packed: DataFrame, ranges: int) -> DataFrame:
         wide[:, :6] = data[:, :6]
         signature = wide.view("<u8").ravel().copy()
         wide[:, :6] = data[:, 6:]
-        kind, a, b = candidates_in(signature, wide.view("<u8").ravel())
+        kind, a, b, times = candidates_in(signature, wide.view("<u8").ravel())
         with np.errstate(over="ignore"):  # a bucket's name holds its range
             a = np.where(kind == 1, mix(a * np.uint64(ranges) + np.uint64(number)), a)
-        return pa.table({"kind": kind, "a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"kind": kind, "a": a.view(np.int64), "b": b.view(np.int64), "times": times})
 
-    return packed.groupBy("range").applyInArrow(meet, "kind int, a long, b long")
+    return packed.groupBy("range").applyInArrow(meet, "kind int, a long, b long, times long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -273,13 +277,24 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(a, b) that link."""
-    left = sets.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
+    """The pairs(a, b) that link.
+
+    Only sets of the pairs move: the ids of the pairs are sent to the sets
+    where there are few enough of them.
+    """
+    few = pairs.count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
+    left = sets.withColumnsRenamed({"k": "a", "n": "na", "shingles": "sa"}).join(sent(pairs), "a")
+    right = sets.withColumnsRenamed({"k": "b", "n": "nb", "shingles": "sb"}).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * 80).select("a", "b")
 
 
+def _band(n: Column) -> Column:
+    """The number of a size's band."""
+    return F.size(F.filter(F.array(*(F.lit(int(t)) for t in TOPS)), lambda t: t < n))
+
+
 def _cross(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs(a, b) whose ends are not in one component yet."""
     a, b = (roots.withColumnsRenamed({"node": c, "root": f"r{c}"}) for c in "ab")
@@ -287,6 +302,27 @@ def _cross(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _prefix_pairs(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs(a, b) out of some(k, root, n) in different components that may link.
+
+    A prefix filter over these sets alone: sets that link share one of the
+    ``n - 0.8 n + 1`` shingles of each that fewest of the sets hold, so near
+    copies with too many shingles of their own pair with none.
+    """
+    sent = F.broadcast if some.count() <= BROADCAST_ROWS else lambda df: df
+    tokens = sets.select("k", F.explode("shingles").alias("t")).join(sent(some), "k")
+    rare = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ordered = tokens.join(rare, "t").groupBy("k", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("by"))  # one set's shingles
+    few = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
+    prefix = ordered.select("k", "root", "n", F.posexplode(F.slice("by", F.lit(1), few)).alias("i", "x")).where("x.df > 1").select("k", "root", "n", "x.t", "i")
+    prefix = cut(prefix, "prefix")
+    other = prefix.toDF("k2", "root2", "n2", "t2", "i2")
+    # the first shingle that two sets share leaves room for all they must share
+    least = F.ceil(4 * (F.col("n") + F.col("n2")) / 9)
+    fits = (F.col("k") < F.col("k2")) & (F.col("root") != F.col("root2")) & (F.col("n") - F.col("i") >= least) & (F.col("n2") - F.col("i2") >= least)
+    return prefix.join(other, (F.col("t") == F.col("t2")) & fits).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+
+
 def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, roots): the distinct sets of rows, and the component of those that link with others."""
     spark = docs.sparkSession
@@ -300,22 +336,35 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.75 * 12 / (RANGE_MB << 20)) + 1)
     found = cut(_candidates(_packed(docs, ranges), ranges), "candidates")
 
+    # How many large buckets each set is in, by role.
     bare = F.shiftrightunsigned("k", 17)
-    named = classes.select(bare.alias("bare"), "k", "n")
-    pool = found.where("kind = 0").select("a", "b").distinct()
-    pool = pool.join(named.toDF("a", "ka", "na"), "a").join(named.toDF("b", "kb", "nb"), "b")
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80) & (F.col("ka") != F.col("kb"))
-    pool = cut(pool.where(fits).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")), "pool")
+    large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.shiftrightunsigned("b", 1).alias("bare"), F.col("b").bitwiseAND(1).alias("role"))
+    held = large.groupBy("bare").agg(F.count_if(F.col("role") == 0).alias("large0"), F.count_if(F.col("role") == 1).alias("large1"))
+    classes = classes.withColumn("bare", bare).join(held, "bare", "left")
+    classes = cut(classes.fillna(0, ["large0", "large1"]).withColumn("band", _band(F.col("n"))), "classes")
+
+    # Sets that link agree on more parts than the slack of either, so a pair
+    # must meet in as many buckets, counting all the large ones it may share.
+    named = classes.select("bare", "k", "n", "band", F.array("slack0", "slack1").alias("slack"), F.array("large0", "large1").alias("large"))
+    pool = found.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    one, two = (named.toDF(*(f"{c}{x}" for c in named.columns)).withColumnRenamed(f"bare{x}", y) for x, y in ((1, "a"), (2, "b")))
+    pool = pool.join(one, "a").join(two, "b")
+    fits = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * 80) & (F.col("k1") != F.col("k2"))
+    # the set in the lower band of two met the other in its next band
+    role1, role2 = (F.when(F.col(f"band{x}") < F.col(f"band{y}"), 1).otherwise(0) for x, y in ((1, 2), (2, 1)))
+    need = F.greatest(F.get("slack1", role1), F.get("slack2", role2)) + 1
+    may = F.col("times") + F.least(F.get("large1", role1), F.get("large2", role2))
+    pool = cut(pool.where(fits & (may >= need)).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct(), "pool")
 
     # Large buckets: only sets that have more of them than slack need any, and
     # of those the rarest that exceed the slack (the order is the same for all).
-    large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.shiftrightunsigned("b", 1).alias("bare"), F.col("b").bitwiseAND(1).alias("role"))
-    slack = classes.select(bare.alias("bare"), "k", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("role"), F.col("slack0").alias("slack")), F.struct(F.lit(1).cast("long").alias("role"), F.col("slack1").alias("slack")))).alias("x")).select("bare", "k", "x.*")
+    slack = classes.select("bare", "k", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("role"), F.col(f"slack{r}").alias("slack")) for r in (0, 1)))).alias("x")).select("bare", "k", "x.*")
     large = large.join(slack, ["bare", "role"])
     members = large.groupBy("bucket").agg(F.count("*").alias("members"))
     per = large.join(members, "bucket").groupBy("k", "role", "slack").agg(F.sort_array(F.collect_list(F.struct("members", "bucket"))).alias("held"))
     per = per.where(F.size("held") > F.col("slack"))  # a set's own buckets: no more than its parts
-    large = cut(per.select("k", "role", F.explode(F.slice("held", F.lit(1), (F.size("held") - F.col("slack")).cast("int"))).alias("x")).select("k", "role", "x.bucket"), "large")
+    rarest = F.slice("held", F.lit(1), (F.size("held") - F.col("slack")).cast("int"))
+    large = cut(per.select("k", "role", F.explode(rarest).alias("x")).select("k", "role", "x.bucket"), "large")
 
     wanted = pool.select(F.col("a").alias("k")).unionAll(pool.select("b")).unionAll(large.select("k")).distinct()
     wanted = cut(classes.join(wanted, "k", "left_semi").select("k", "doc_id"), "wanted")
@@ -342,12 +391,13 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
             F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("role") == 0, F.struct("root", "k", "n"))).alias("head")
         ).where("low <> high and head is not null")
         if everyone:
-            first = held.where("role = 0").select("bucket", F.col("root").alias("hroot"), F.col("k").alias("hk"), F.col("n").alias("hn"))
-            first = first.join(apart.select("bucket"), "bucket", "left_semi")
+            unsettled = held.join(apart.select("bucket"), "bucket", "left_semi").select("k", "root", "n").distinct()
+            pairs = _prefix_pairs(cut(unsettled, "unsettled"), sets)
         else:
-            first = apart.select("bucket", F.col("head.root").alias("hroot"), F.col("head.k").alias("hk"), F.col("head.n").alias("hn"))
-        pairs = held.join(first, "bucket").where((F.col("root") != F.col("hroot")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * 80))
-        pairs = pairs.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
+            first = apart.select(F.col("bucket").alias("hbucket"), F.col("head.root").alias("hroot"), F.col("head.k").alias("hk"), F.col("head.n").alias("hn"))
+            meets = (F.col("root") != F.col("hroot")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * 80)
+            pairs = held.join(first, (F.col("bucket") == F.col("hbucket")) & meets)
+            pairs = pairs.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = cut(_verified(pairs, sets), "verified")
         tested = tested.unionAll(pairs)
