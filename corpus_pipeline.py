@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import decontaminate, jaccard_join, langid, mixing, pii
-from lamina.llm.storage import cut, table
+from lamina.llm.storage import cut, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or near no learned language, go."""
+    small_batches(spark)
     return langid.keep_known(docs)
 
 

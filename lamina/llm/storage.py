@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of text in an Arrow batch: few, since the JVM and Python each hold one whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -24,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
+    small_batches(spark)
     return f"{shared_dir(spark)}/lamina-{label}-{uuid.uuid4().hex}"
 
 
@@ -40,4 +49,5 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
