@@ -40,7 +40,7 @@ from lamina.llm.storage import cut, table
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Words in a block, slots in a shard, documents in a bucket of a source.
-BLOCK, SLOTS, BUCKET = 64, 4096, 5000
+BLOCK, SLOTS, BUCKET = 64, 4096, 500
 SEED = 20240601
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -169,6 +169,7 @@ def mix(
     parts = parts.select("sid", "part", F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("above"))
     drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, ["sid", "part"])
     drawn = drawn.select("shard", "sid", "n", (F.col("first") + F.col("above")).alias("first"))
+    drawn = drawn.repartition(1 + total // 100_000, "shard", "sid")  # few rows, but of many slots each
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
