@@ -116,8 +116,13 @@ def _ranked(row: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE, longest: int = LONGEST) -> dict[str, np.ndarray]:
     """language -> keys in order of rank, from rows that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample)
+    # hashes are spread evenly, so those below twice the share that is wanted
+    # hold the least ``sample``; only they are dealt by language
+    total = usable.groupBy("lang").agg(F.count("*").alias("total")).select(F.col("lang").alias("_lang"), "total")
+    h, edge = F.xxhash64("doc_id"), 2.0**64 * (2.0 * sample + 100) / F.col("total") - 2.0**63
+    near = usable.select("lang", "doc_id").join(total, F.col("lang") == F.col("_lang")).where(h.cast("double") <= edge)
+    pick = Window.partitionBy("lang").orderBy(h, "doc_id")
+    ids = near.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample)
     ids = ids.select("doc_id").distinct()  # ``sample`` for each language at most
     learned = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
 
