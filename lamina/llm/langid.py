@@ -120,7 +120,9 @@ def profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE, longest: int
     # hold the least ``sample``; only they are dealt by language
     total = usable.groupBy("lang").agg(F.count("*").alias("total")).select(F.col("lang").alias("_lang"), "total")
     h, edge = F.xxhash64("doc_id"), 2.0**64 * (2.0 * sample + 100) / F.col("total") - 2.0**63
-    near = usable.select("lang", "doc_id").join(total, F.col("lang") == F.col("_lang")).where(h.cast("double") <= edge)
+    # sent: a row for each language, of which the driver holds the profiles too;
+    # a planned merge join would deal all rows by language before it is dropped
+    near = usable.select("lang", "doc_id").join(F.broadcast(total), F.col("lang") == F.col("_lang")).where(h.cast("double") <= edge)
     pick = Window.partitionBy("lang").orderBy(h, "doc_id")
     ids = near.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample)
     ids = ids.select("doc_id").distinct()  # ``sample`` for each language at most
