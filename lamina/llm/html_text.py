@@ -3,7 +3,11 @@
 First pass: every page's containers are scored (paragraph text less linked
 text, halved for each level between), and the page votes for the path of its
 best container. A path is the tags and classes from the root, numbers left
-out. Votes are counted in Spark for each host and path, and each host's winner
+out. A class or id that names what is not the article (``_NAMES``) never drops
+html, body, main, article or a heading. Text below another block of such a name
+counts a quarter, for the containers up to that block only, and is left out of
+the containers around it, unless the page's best container lies in the block.
+Votes are counted in Spark for each host and path, and each host's winner
 is the path with most votes. Second pass: the text is taken from the winning
 path's containers, or from the page's own best one if it has none of that path.
 
@@ -47,15 +51,19 @@ _NAMES = re.compile(
     r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-?bar|widget|footer|header|masthead|comments?|replies|disqus|respond|"
     r"share|sharing|social|related|recommended|login|signup|search)(?:$|[\s_-])", re.I
 )
+#: Words that say whether there is such a thing, as in has-sidebar.
+_MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[_-]\S+", re.I)
+_NEVER_NAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
 def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised name of an element, and whether it is dropped."""
+    """The generalised name of an element, and whether its class or id is of what is not the article."""
     found = [(m.group(0)[:5].lower(), next(g for g in m.groups() if g is not None)) for m in _CLASS.finditer(attributes)] if "=" in attributes else []
     words = " ".join(v for _, v in found)
     classes = sorted({re.sub(r"\d+", "#", w) for k, v in found if k == "class" for w in v.split()})
-    return ".".join([tag, *classes]), tag in _DROPPED or bool(words and _NAMES.search(words))
+    named = tag not in _NEVER_NAMED and bool(words and _NAMES.search(words)) and bool(_NAMES.search(_MODIFIED.sub("", words)))
+    return ".".join([tag, *classes]), named
 
 
 class Page:
@@ -64,6 +72,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, int]] = []  # text, node
         self.parent, self.path, self.scores = [-1], [""], [0.0]  # node 0 is the page
+        self.named, self.weight = [False], [1.0]
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, nearest node, dropped
         text: list[str] = []
         linked = 0
@@ -75,10 +84,10 @@ class Page:
             if words and not stack[-1][2]:
                 node, share = stack[-1][1], max(len(words) - 2 * linked, 0)
                 self.blocks.append((words, node))
-                weight = 1.0
+                weight = self.weight[node]
                 while node >= 0 and share:
                     self.scores[node] += share * weight
-                    weight, node = weight / 2, self.parent[node]
+                    weight, node = weight / 2, -1 if self.named[node] else self.parent[node]
             linked = 0
 
         def put(run: str) -> None:
@@ -115,12 +124,15 @@ class Page:
                     break
             if tag in _VOID:
                 continue
-            name, dropped = _name(tag, m.group(3))
+            name, named = _name(tag, m.group(3))
             _, node, above = stack[-1]
-            if tag in _CONTAINER:
+            dropped = tag in _DROPPED or (named and tag not in _BLOCK)
+            if tag in _CONTAINER or (named and tag in _BLOCK):
                 self.parent.append(node)
                 self.path.append(f"{self.path[node]}>{name}")
                 self.scores.append(0.0)
+                self.named.append(named)
+                self.weight.append(0.25 if named else self.weight[node])
                 node = len(self.path) - 1
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
@@ -128,6 +140,10 @@ class Page:
             elif not m.group(3).endswith("/"):
                 stack.append((tag, node, above or dropped))
         flush()
+        node = self.best()
+        while node >= 0:  # what holds the best container is no part beside the article
+            self.named[node] = False
+            node = self.parent[node]
 
     def best(self) -> int:
         """The node of the highest score; the first of equals, the page itself if all are 0."""
@@ -146,7 +162,7 @@ class Page:
     def _under(self, tops: set[int]) -> list[bool]:
         inside: list[bool] = []
         for i, above in enumerate(self.parent):  # parents come first
-            inside.append(i in tops or (above >= 0 and inside[above]))
+            inside.append(i in tops or (above >= 0 and inside[above] and not self.named[i]))
         return inside
 
 

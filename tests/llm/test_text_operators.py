@@ -176,6 +176,23 @@ def test_html_text(make):
     assert html_text.extracted(make([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_never_drop_the_article(make):
+    words = "An article of a few words. " * 9
+    inner = f"<p>{words}</p>"
+    shells = [
+        f"<body class='no-sidebar'><div>{inner}</div>", f"<body class='home search'><div>{inner}</div>", f"<html class='nav'><body>{inner}",
+        f"<body><div class='has-sidebar'>{inner}</div><div>legal</div>", f"<body><article class='post share'>{inner}</article>", f"<body><section id='related'>{inner}</section>",
+        f"<body><main id='search'><h2 class='header'></h2>{inner}</main>", f"<body><div class='widget'><div class='x'>{inner}</div></div>", f"<body><table id='header'><tr><td>{inner}</table>",
+    ]
+    shells = [(i, f"http://h{i}.example/", s) for i, s in enumerate(shells)]
+    kept = [
+        (90, "http://k.example/", f"<body><h1 class='post-header'>T</h1>{inner}<ul class='menu'><li>no</ul><p>x <span class='share'>no</span>y</p><div id='sidebar'><div>no</div></div>"),
+        (91, "http://l.example/", f"<body><div class='share'>{inner}<div class='comments'>no</div></div><div class='ad'><p>no</p></div>"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extracted(make(shells + kept, "page_id long, url string, html string")).collect()}
+    assert got == {i: words.strip() for i, *_ in shells} | {90: f"T {words}x y", 91: words.strip()}
+
+
 def test_html_of_the_tables(spark, sf):
     """The tables' pages have one layout, for which an expression suffices."""
     import html
