@@ -1,15 +1,18 @@
 """Operator 6: main text of web pages by consensus paths of a host.
 
 First pass: every page's containers are scored (paragraph text less linked
-text, halved for each level between), and the page votes for the path of its
-best container. A path is the tags and classes from the root, numbers left
-out. A class or id that names what is not the article (``_NAMES``) never drops
+text, halved for each level between). From the best one the page climbs to the
+highest container around it that adds unlinked text, and votes for its path. A
+path is the tags and classes from the root, numbers left out. A class or id that names what is not the article (``_NAMES``) never drops
 html, body, main, article or a heading. Text below another block of such a name
 counts a quarter, for the containers up to that block only, and is left out of
 the containers around it, unless the page's best container lies in the block.
 Votes are counted in Spark for each host and path, and each host's winner
 is the path with most votes. Second pass: the text is taken from the winning
-path's containers, or from the page's own best one if it has none of that path.
+path's containers, or from the page's own one if they hold no text, or less than
+half of its unlinked text and lack ``LEAST_MISSED`` characters or more of it (a
+page of another template; a page of less text does not outvote its host). Text
+around the article that no tag, class or id marks is kept.
 
 Votes are two numbers for each host and path, summed map-side, so a host with a
 third of all pages is no hot group. Winners go to the pages by broadcast while
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from lamina.llm.storage import cut, table
 
 BROADCAST_HOSTS = 200_000
+#: Characters outside the host's path from which a page goes by its own container.
+LEAST_MISSED = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -70,7 +75,7 @@ class Page:
     """The kept blocks of a page and its containers."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, int]] = []  # text, node
+        self.blocks: list[tuple[str, int, int]] = []  # text, node, characters not linked
         self.parent, self.path, self.scores = [-1], [""], [0.0]  # node 0 is the page
         self.named, self.weight = [False], [1.0]
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, nearest node, dropped
@@ -83,7 +88,7 @@ class Page:
             text.clear()
             if words and not stack[-1][2]:
                 node, share = stack[-1][1], max(len(words) - 2 * linked, 0)
-                self.blocks.append((words, node))
+                self.blocks.append((words, node, share))
                 weight = self.weight[node]
                 while node >= 0 and share:
                     self.scores[node] += share * weight
@@ -152,12 +157,26 @@ class Page:
         node = max(range(1, len(self.scores)), key=lambda i: (self.scores[i], -i))
         return node if self.scores[node] > 0 else 0
 
+    def top(self) -> int:
+        """The lowest node around all unlinked text that is kept; the page itself if there is none."""
+        kept = self._under({0})
+        nodes = {n for _, n, share in self.blocks if share and kept[n]}
+        while len(nodes) > 1:  # children come last
+            last = max(nodes)
+            nodes.remove(last)
+            nodes.add(self.parent[last])
+        return nodes.pop() if nodes else 0
+
+    def held(self, inside: list[bool]) -> int:
+        return sum(share for _, node, share in self.blocks if inside[node])
+
     def text(self, path: str | None) -> str:
         tops = {i for i, p in enumerate(self.path) if p == path} if path else set()
-        inside = self._under(tops)
-        if not any(inside[n] for _, n in self.blocks):
-            inside = self._under({self.best()})
-        return " ".join(words for words, node in self.blocks if inside[node])
+        inside, own = self._under(tops), self._under({self.top()})
+        held, whole = self.held(inside), self.held(own)
+        if not any(inside[n] for _, n, _ in self.blocks) or (2 * held < whole and whole - held >= LEAST_MISSED):
+            inside = own
+        return " ".join(words for words, node, _ in self.blocks if inside[node])
 
     def _under(self, tops: set[int]) -> list[bool]:
         inside: list[bool] = []
@@ -186,9 +205,9 @@ def winners(pages: DataFrame) -> DataFrame:
                 paths, scores = [], []
                 for source in part.column(1).to_pylist():
                     page = Page(source or "")
-                    node = page.best()
+                    node = page.top()
                     paths.append(page.path[node] or None)
-                    scores.append(page.scores[node])
+                    scores.append(float(page.held(page._under({node}))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(paths, pa.string()), pa.array(scores)], names=["host", "path", "score"])
 
     votes = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(vote, "host string, path string, score double")

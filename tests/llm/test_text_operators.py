@@ -181,7 +181,7 @@ def test_html_names_never_drop_the_article(make):
     inner = f"<p>{words}</p>"
     shells = [
         f"<body class='no-sidebar'><div>{inner}</div>", f"<body class='home search'><div>{inner}</div>", f"<html class='nav'><body>{inner}",
-        f"<body><div class='has-sidebar'>{inner}</div><div>legal</div>", f"<body><article class='post share'>{inner}</article>", f"<body><section id='related'>{inner}</section>",
+        f"<body><div class='has-sidebar'>{inner}</div><footer>legal</footer>", f"<body><article class='post share'>{inner}</article>", f"<body><section id='related'>{inner}</section>",
         f"<body><main id='search'><h2 class='header'></h2>{inner}</main>", f"<body><div class='widget'><div class='x'>{inner}</div></div>", f"<body><table id='header'><tr><td>{inner}</table>",
     ]
     shells = [(i, f"http://h{i}.example/", s) for i, s in enumerate(shells)]
@@ -193,6 +193,19 @@ def test_html_names_never_drop_the_article(make):
     assert got == {i: words.strip() for i, *_ in shells} | {90: f"T {words}x y", 91: words.strip()}
 
 
+def test_html_keeps_title_lead_and_sections(make):
+    long = "A long text of many words, the body of it. " * 20
+    pages = [(i, "http://a.example/", f"<body><nav>n</nav><article><h1>T{i}</h1><p>lead</p><div class='body'><p>{long}</p></div></article>") for i in range(3)]
+    pages += [(10 + i, "http://b.example/", f"<body><article><div class='p'><h1>T</h1></div><section class='a'>{long}</section><section class='b'>more</section></article>") for i in range(3)]
+    # another template, with a small container of the winning path
+    pages += [(20, "http://a.example/", f"<body><article><p>teaser</p></article><div class='story'><h1>S</h1><p>{long}</p></div>")]
+    # the article is in the page itself
+    pages += [(30, "http://c.example/", f"<h1>T</h1><div><p>{long}</p></div>")]
+    got = {r.page_id: r.text for r in html_text.extracted(make(pages, "page_id long, url string, html string")).collect()}
+    long = long.strip()
+    assert got == {i: f"T{i} lead {long}" for i in range(3)} | {10 + i: f"T {long} more" for i in range(3)} | {20: f"teaser S {long}", 30: f"T {long}"}
+
+
 def test_html_of_the_tables(spark, sf):
     """The tables' pages have one layout, for which an expression suffices."""
     import html
