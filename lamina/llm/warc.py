@@ -11,7 +11,8 @@ record that it claims to begin and yields the offset of its successor. Inside a
 block the successors are followed to the first offset behind the block; pointer
 jumping then doubles these steps from the start of the file, and only records
 on that chain are kept. A file's tasks need no common state, and the number of
-rounds is the logarithm of its blocks.
+rounds is the logarithm of its blocks. A file whose chain does not end at the
+file's end is an error.
 
 Defined results: null html is an empty payload; equal payloads of at least
 ``least`` bytes (0 here) are stored once; rows that share both payload and the
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.errors import CorruptionError
 from lamina.llm.storage import cut, new_path, table
 
 #: Bytes of a chunk of records, and of a block that is searched for starts.
@@ -43,6 +45,7 @@ CHUNK, BLOCK = 4 << 20, 1 << 20
 BROADCAST_GROUPS = 500_000
 END = b"\r\n\r\n"
 MAGIC, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
+#: Bytes of header of a start that no record's end lies before, which is on no chain.
 HEAD_LIMIT = 1 << 16
 
 
@@ -127,14 +130,19 @@ def _member(view: memoryview, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), fed - len(packer.unused_data)) if packer.eof else None
 
 
-def _parse(data: memoryview | bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """(fields, start of the block, end of the block) of a record at ``at``."""
-    head = bytes(data[at : at + HEAD_LIMIT])
-    stop = head.find(END)
-    if not head.startswith(MAGIC) or stop < 0:
+def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+    """(fields, start of the block, end of the block) of a record at ``at``.
+
+    A start on a chain is the first one or follows an end, so the headers that
+    are read without a limit do not overlap.
+    """
+    if not data.startswith(MAGIC, at):
+        return None
+    stop = data.find(END, at) if at == 0 or data.startswith(END, at - len(END)) else data.find(END, at, at + HEAD_LIMIT)
+    if stop < 0:
         return None
     fields = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
+    for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -142,7 +150,7 @@ def _parse(data: memoryview | bytes, at: int) -> tuple[dict[str, str], int, int]
     length = fields.get("content-length", "")
     if not re.fullmatch(r"[0-9]+", length):
         return None
-    start = at + stop + len(END)
+    start = stop + len(END)
     return fields, start, start + int(length)
 
 
@@ -185,7 +193,7 @@ def candidates(content: bytes, block: int = BLOCK) -> Iterator[dict]:
                     row = {"successor": got[1], "record": None}
                 elif got and (p := _parse(got[0], 0)) and got[0][p[2] :] == END:
                     row = {"successor": got[1], "record": _described(p[0], got[0][p[1] : p[2]])}
-            elif (p := _parse(view, at)) and p[2] + 4 <= len(view) and view[p[2] : p[2] + 4] == END:
+            elif (p := _parse(content, at)) and p[2] + 4 <= len(view) and view[p[2] : p[2] + 4] == END:
                 row = {"successor": p[2] + 4, "record": _described(p[0], bytes(view[p[1] : p[2]]))}
             if row:
                 found.append(row | {"block": number, "offset": at})
@@ -201,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
     """The records on the chain from each file's start, with file and offset."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").option("recursiveFileLookup", "true").load(path)
-        .where("length > 0").select(F.col("path").alias("file"), "content")
+        .where("length > 0").select(F.col("path").alias("file"), "length", "content")
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +225,7 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
                     yield pd.DataFrame(rows)
 
     schema = f"file string, block long, offset long, successor long, exit long, record struct<{_RECORD.replace(' ', ': ').replace(',:', ',')}>"
-    found = cut(files.mapInPandas(lambda it: (df[["file", "block", "offset", "successor", "exit", "record"]] for df in search(it)), schema), "starts")
+    found = cut(files.select("file", "content").mapInPandas(lambda it: (df[["file", "block", "offset", "successor", "exit", "record"]] for df in search(it)), schema), "starts")
 
     # pointer jumping: after n rounds the first 2 ** n blocks' entries are known
     jump = found.select("file", "offset", F.col("exit").alias("to"))
@@ -231,6 +239,11 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
         nxt = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("then"))
         jump = cut(jump.join(nxt, ["file", "to"]).select("file", "offset", F.col("then").alias("to")), "jump")
 
+    ends = found.join(reached, ["file", "offset"], "left_semi").groupBy("file").agg(F.max("exit").alias("end"))
+    broken = files.select("file", "length").join(ends, "file", "left").where("end is null or end <> length").take(1)
+    if broken:
+        raise CorruptionError("the records of an archive end before its end", file=broken[0].file, end=broken[0].end, length=broken[0].length)
+
     # inside a block the chain is followed from its one entry
     entries = reached.select("file", F.col("offset").alias("entry"), F.floor(F.col("offset") / block).alias("block"))
     held = found.join(entries, ["file", "block"]).select("file", "block", "entry", "offset", "successor")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.errors import CorruptionError
 from lamina.llm import decontaminate, html_text, langid, mixing, quality, toxicity, warc
 from lamina.llm.storage import new_path
 
@@ -250,6 +251,22 @@ def test_warc_false_starts_are_candidates_but_not_kept():
     assert [c["record"]["page_id"] for c in warc.candidates(data)] == [1, 77, 2]
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+def test_warc_long_headers_and_broken_chains(spark, make, tmp_path, compressed):
+    rows = [(1, "http://h/1", "a"), (2, "http://h/" + " " * 30_000, "b"), (3, "http://h/3", "c"), (4, "http://h/" + "x" * 200_000, "d"), (5, None, "e")]
+    pages = make(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.archived(pages, compressed).collect()
+    assert {r.page_id: r.url for r in got} == {i: u and u.replace(" ", "%20") for i, u, _ in rows}
+    parts = [warc.record(i, u, t.encode(), None, False) + warc.END for i, u, t in rows]
+    data = b"".join(map(warc._gzip, parts) if compressed else parts)
+    (tmp_path / "a.warc").write_bytes(data)
+    assert warc.read_archives(spark, str(tmp_path)).count() == 5
+    for bad in (data[:-9], data + b"x", b"x" + data):
+        (tmp_path / "a.warc").write_bytes(bad)
+        with pytest.raises(CorruptionError):
+            warc.read_archives(spark, str(tmp_path))
+
+
 def test_warc_repeated_and_empty(spark, make):
     rows = [(1, None, "p"), (1, None, "p"), (None, None, "q"), (None, None, "q"), (None, None, "p")]
     got = warc.archived(make(rows, "page_id long, url string, html string")).collect()
