@@ -7,6 +7,10 @@ Deletions are dropped strictly above the aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,26 +103,33 @@ def flush_points(changes: DataFrame, limit: int, *by: str) -> DataFrame:
     """(by, ord) of the changes that fill the memtable of a write session.
 
     A key costs its length and that of its newest value since the last flush.
-    The fold needs only each change's cost and that of the key's change before,
-    so it carries two numbers; a session is inherently sequential, and sessions
-    (``by``) run side by side.
+    The fold needs only each change's cost and that of the key's change before.
+    A session is inherently sequential: one task reads it in order of ``ord``
+    and carries two numbers from batch to batch, so a session may have any
+    number of changes and boundaries. Sessions (``by``) run side by side.
     """
     cost = F.length("key") + F.coalesce(F.length("value"), F.lit(0))
     last = Window.partitionBy(*by, "key").orderBy("ord")
     rows = changes.withColumn("cost", cost.cast("long"))
     rows = rows.withColumn("old_ord", F.lag("ord").over(last)).withColumn("old_cost", F.lag("cost").over(last))
-    session = F.array_sort(F.collect_list(F.struct("ord", "cost", "old_ord", "old_cost"))).alias("rows")
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(-1).cast("long").alias("from"), zero.alias("bytes"), F.array().cast("array<bigint>").alias("at"))
-
-    def step(acc: Column, r: Column) -> Column:
-        kept = F.when(r["old_ord"] > acc["from"], r["old_cost"]).otherwise(zero)
-        size = acc["bytes"] + r["cost"] - kept
-        full = size >= limit
-        return F.struct(
-            F.when(full, r["ord"]).otherwise(acc["from"]).alias("from"), F.when(full, zero).otherwise(size).alias("bytes"),
-            F.when(full, F.array_append(acc["at"], r["ord"])).otherwise(acc["at"]).alias("at"),
-        )
-
-    folded = rows.groupBy(*by).agg(session).select(*by, F.aggregate("rows", start, step, lambda a: a["at"]).alias("at"))
-    return folded.select(*by, F.explode("at").alias("ord"))
+    rows = rows.select(*by, F.col("ord").cast("long").alias("ord"), "cost", "old_ord", "old_cost")
+    rows = (rows.repartition(*by) if by else rows.coalesce(1)).sortWithinPartitions(*by, "ord", "cost", "old_ord", "old_cost")
+    width = len(by)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, start, size = None, -1, 0
+        for batch in batches:
+            full = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True) if by else repeat(())
+            changed = (batch.column(width + i).to_pylist() for i in range(4))
+            for i, (key, (at, new, old_at, old)) in enumerate(zip(keys, zip(*changed, strict=True))):
+                if key != session:
+                    session, start, size = key, -1, 0
+                size += new - (old if old_at is not None and old_at > start else 0)
+                if size >= limit:
+                    full.append(i)
+                    start, size = at, 0
+            if full:
+                yield batch.select(range(width + 1)).take(pa.array(full))
+
+    return rows.mapInArrow(fold, rows.select(*by, "ord").schema)
