@@ -156,6 +156,15 @@ def test_toxicity_edges(make):
     assert toxicity.scored(make([]), model).count() == 0
 
 
+def test_toxicity_learns_from_four_texts(make):
+    ids = [i for i in range(200) if not held(i)][:64]
+    rows = [(i, "you idiot" if k < 4 else f"a friend {k % 3}", int(k < 4)) for k, i in enumerate(ids)]
+    docs = make([r[:2] for r in rows])
+    model = toxicity.train(docs, make([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    assert min(score[i] for i in ids[:4]) > 0.5 > max(score[i] for i in ids[4:])
+
+
 # HTML
 
 
