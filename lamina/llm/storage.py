@@ -4,36 +4,56 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows of text in an Arrow batch: few, since the JVM and Python each hold one whole.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: The folders of the innermost ``scratch``.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` rows for what runs inside; then the caller's setting again."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made
-    and remembered in the session.
+    Only where that is unset and all tasks run on this machine, a local folder
+    is made and remembered in the session.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.conf.get("lamina.local.shared", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lamina.local.shared", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("lamina.local.shared", conf)
     return conf.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    small_batches(spark)
-    return f"{shared_dir(spark)}/lamina-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lamina-{label}-{uuid.uuid4().hex}"
+    if _held.get() is not None:
+        _held.get().append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -44,10 +64,35 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """The folders made inside are removed at the end, but for those of tables given to ``keep``.
+
+    What is computed lazily behind the end may read kept tables alone.
+    """
+    outer, mine = _held.get(), []
+    token = _held.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine.remove(df.cut_path)
+        if outer is not None:
+            outer.append(df.cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _held.reset(token)
+        for path in mine:
+            remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
