@@ -7,7 +7,9 @@ so memory follows the piece (or the one longest text), not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,6 @@ PIECE = 1 << 18
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 #: The characters that part words: space and U+0009 to U+000D.
 SPACE = np.zeros(256, dtype=bool)
@@ -71,15 +72,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=_U64)
-    if n:
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-    return out
-
-
 class Words:
     """The words of a piece of texts.
 
@@ -87,7 +79,7 @@ class Words:
     ``first[i]:first[i + 1]`` the words of row i, ``hash`` a 64-bit value.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE, lower: bool = True) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE, lower: bool = True, seed: int = 0) -> None:
         n, rows = len(raw), len(offsets) - 1
         inside = ~parts[raw]
         opens, closes = inside.copy(), inside.copy()
@@ -106,23 +98,69 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(rows), self.count)
         self._hash: np.ndarray | None = None
-        self._lower = lower
+        self._lower, self._seed = lower, seed
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(LOWER[self.raw] if self._lower else self.raw, self.start, self.end)
+            self._hash = span_hash(LOWER[self.raw] if self._lower else self.raw, self.start, self.end, self._seed)
         return self._hash
 
 
-def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal spans anywhere."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, dtype=_U64)
-        np.cumsum((raw.astype(_U64) + _U64(1)) * _powers(len(raw), _BASE), out=total[1:])
-        back = _powers(len(raw) + 1, _BASE_INVERSE)
-        value = (total[end] - total[start]) * back[start]
-        return mix(mix(value) + (end - start).astype(_U64))
+_P = _U64((1 << 61) - 1)
+#: From which the bases of the polynomial are drawn.
+_DRAWN = 0x0B3F5E6A91C27D84
+#: Bytes of a span from which it is hashed alone.
+_LONG = 2048
+
+
+def _times(x: np.ndarray, by: int) -> np.ndarray:
+    """x * by modulo 2^61 - 1, for x and by below it."""
+    low, high = _U64(by & 0x7FFFFFFF), _U64(by >> 31)  # 31 and 30 bits
+    x0, x1 = x & _U64(0x7FFFFFFF), x >> _U64(31)
+    middle = x0 * high + x1 * low  # below 2^62, and weighs 2^31
+    # 2^61 counts 1, so x1 * high weighs 2 and the middle's bits from the 30th on 1
+    total = (x1 * high << _U64(1)) + (middle >> _U64(30)) + ((middle & _U64(0x3FFFFFFF)) << _U64(31)) + x0 * low
+    total = (total & _P) + (total >> _U64(61))
+    return total - _P * (total >= _P)
+
+
+@lru_cache
+def _base(seed: int) -> tuple[int, np.ndarray]:
+    """The base of a seed, and its products with the sizes of spans."""
+    drawn = int.from_bytes(hashlib.blake2b(f"{_DRAWN}:{seed}".encode(), digest_size=8).digest(), "little") % int(_P)
+    return drawn, _times(np.arange(_LONG + 1, dtype=_U64), drawn)
+
+
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal spans anywhere.
+
+    A polynomial over groups of 7 bytes modulo the prime 2^61 - 1, so two
+    different spans of n bytes collide for at most n / 7 + 1 of the 2^61 bases.
+    """
+    size, (base, first) = end - start, _base(seed)
+    value = size.astype(_U64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))  # the 8 bytes from each place
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = start[live], size[live]
+    h = None
+    while len(live):  # the first round's product depends on the size alone
+        h = first[left] if h is None else _times(h, base)
+        group = eight[at] & (_U64((1 << 56) - 1) >> (_U64(8) * (7 - np.minimum(left, 7)).astype(_U64)))
+        h = h + group + _U64(1)
+        h -= _P * (h >= _P)
+        done = left <= 7
+        if done.any():
+            value[live[done]] = h[done]
+            more = ~done
+            live, at, left, h = live[more], at[more] + 7, left[more] - 7, h[more]
+        else:
+            at, left = at + 7, left - 7
+    for i in np.flatnonzero(size > _LONG):
+        digest = hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        value[i] = int.from_bytes(digest, "little")
+    return mix(value)
 
 
 def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from lamina.llm import jaccard_join
 from lamina.llm.components import components
 from lamina.llm.jaccard_join import candidates_in, deduplicate, joined
 
@@ -114,3 +115,70 @@ def test_candidates_skip_pairs_of_probes():
     k = np.array([2 << 1, 3 << 1 | 1, 4 << 1 | 1, 5 << 1 | 1, 6 << 1 | 1], dtype=np.uint64)
     kind, a, b, times = candidates_in(s, k)
     assert times.tolist() == [1, 1] and kind.tolist() == [0, 0] and a.tolist() == [2, 2] and b.tolist() == [3, 4]
+
+
+def test_different_texts_of_one_polynomial_never_link(make):
+    """Thue-Morse words collide under any base of a polynomial modulo 2^64."""
+    t = "a"
+    for _ in range(10):
+        t = "".join({"a": "ab", "b": "ba"}[c] for c in t)
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, t), (2, u), (3, f"one two three four {t}"), (4, f"one two three four {u}")]
+    assert sorted((r.doc_id, r.component_id) for r in joined(make(rows)).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert deduplicate(make(rows)).count() == 4
+
+
+def test_a_shared_key_is_found_out(make, monkeypatch):
+    """Keys of the first seed are made alike: the sets differ, so another seed is taken, and at last an error."""
+    import lamina.llm.jaccard_join as j
+
+    rows = [(i, f"w{i} a b c d e f") for i in range(6)] + [(9, "q " * 9), (8, "q " * 7)]
+    real = j.sets_of
+    monkeypatch.setattr(j, "sets_of", lambda text, seed=0: [x // 2**62 if n == 1 and not seed else x for n, x in enumerate(real(text, seed))])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in joined(make(rows)).collect())
+    assert got == brute(rows)
+    monkeypatch.setattr(j, "sets_of", lambda text, seed=0: [x // 2**62 if n == 1 else x for n, x in enumerate(real(text, seed))])
+    with pytest.raises(j.CorruptionError):
+        joined(make(rows))
+
+
+def test_equal_sets_of_different_texts_are_one_class(make):
+    rows = [(i, "q " * (5 + i)) for i in range(4)] + [(7, "a b c d e a b c d e a"), (6, "a b c d e a b c d e a b c")]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in joined(make(rows)).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hot_signatures_and_values_lose_nothing(make, monkeypatch, seed):
+    """With every frequent signature, set, bucket and component treated as hot."""
+    import lamina.llm.jaccard_join as j
+    import lamina.llm.joins as joins
+
+    monkeypatch.setattr(j, "HOT", 10_000)
+    monkeypatch.setattr(j, "HOT_FLOOR", 3)
+    real = joins.hot_values
+    for module in (j, joins):
+        monkeypatch.setattr(module, "hot_values", lambda rows, on: real(rows, on, 10_000, 2))
+    rows = corpus(seed)
+    rows += [(1000 + i, rows[40][1]) for i in range(30)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in joined(make(rows)).collect()), key=str)
+    assert got == brute(rows)
+    kept = sorted(r.doc_id for r in deduplicate(make(rows)).collect())
+    assert kept == sorted(d for d, n, c in brute(rows) if d == c)
+
+
+def test_linked_sets_share_as_many_signatures_as_the_slack_says():
+    """Random pairs of linked sets: common signatures in the band where they meet against the slack of either."""
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        both = int(rng.integers(1, 200))
+        d = rng.integers(0, both // 4 + 1)
+        x = int(rng.integers(0, d + 1))
+        values = rng.integers(0, 2**63, both + d).astype(np.uint64)
+        sets = [np.sort(values[: both + x]), np.sort(np.concatenate((values[:both], values[both + x :])))]
+        bands = [int(np.searchsorted(jaccard_join.TOPS, len(s))) for s in sets]
+        found = []
+        for s, band in zip(sets, bands, strict=True):
+            role = max(bands) - band
+            _, signature, slack = jaccard_join._signatures(np.zeros(len(s), np.int64), s, np.array([len(s)]), role)
+            found.append((set(signature.tolist()), int(slack[0])))
+        assert len(found[0][0] & found[1][0]) >= max(found[0][1], found[1][1]) + 1
