@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.joins import spread_join
-from lamina.llm.storage import cut
+from lamina.llm.storage import cut, rows_of
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,13 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = cut(links.select("a", "b").where("a <> b"), "links")
     nodes = cut(links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().withColumn("root", F.col("node")), "nodes")
-    while not links.isEmpty():
+    while rows_of(links):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "hook")
         while True:
             nxt = hook.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             jumped = cut(spread_join(hook, nxt, "p").select("a", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "hook")
             hook = jumped.select("a", "p")
+            hook.cut_rows = rows_of(jumped)
             if jumped.where("moved").isEmpty():
                 break
         to = hook.select(F.col("a").alias("root"), "p")

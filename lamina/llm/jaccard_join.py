@@ -65,7 +65,7 @@ from pyspark.sql import functions as F
 from lamina.errors import CorruptionError
 from lamina.llm.components import components
 from lamina.llm.joins import hot_values, spread_join
-from lamina.llm.storage import cut, scratch, table
+from lamina.llm.storage import cut, rows_of, scratch, table
 from lamina.llm.vectors import LOWER, PIECE, SPACE, Words, mix, pieces, text_bytes
 
 WIDTH = 5
@@ -412,7 +412,7 @@ def _candidates(packed: DataFrame, ranges: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of docs that share a doc_id with a row of wanted."""
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
+    if rows_of(wanted) <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     return texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text")
@@ -434,7 +434,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
 
     found = _texts(docs, wanted).mapInArrow(build, "k long, n long, shingles array<long>")
     keys = wanted.select("k")
-    if wanted.count() <= BROADCAST_ROWS:
+    if rows_of(wanted) <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     # rows that share a doc_id with a wanted one, and copies of it, go
     return found.join(keys, "k", "left_semi").groupBy("k", "n").agg(F.first("shingles").alias("shingles"))
@@ -447,7 +447,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     where there are few enough of them. Of a set in very many pairs (the head
     of a large bucket) the shingles are sent to the others.
     """
-    few = pairs.count() <= BROADCAST_ROWS
+    few = rows_of(pairs) <= BROADCAST_ROWS
     sent = F.broadcast if few else lambda df: df
     left, right = (sets.withColumnsRenamed({"k": x, "n": f"n{x}", "shingles": f"s{x}"}) for x in "ab")
     hot = sorted({*hot_values(pairs, "a"), *hot_values(pairs, "b")})
@@ -486,7 +486,7 @@ def _prefix_pairs(some: DataFrame, sets: DataFrame) -> DataFrame:
     ``n - 0.8 n + 1`` shingles of each that fewest of the sets hold, so near
     copies with too many shingles of their own pair with none.
     """
-    sent = F.broadcast if some.count() <= BROADCAST_ROWS else lambda df: df
+    sent = F.broadcast if rows_of(some) <= BROADCAST_ROWS else lambda df: df
     tokens = sets.select("k", F.explode("shingles").alias("t")).join(sent(some), "k")
     rare = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ordered = tokens.join(rare, "t").groupBy("k", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("by"))  # one set's shingles
@@ -532,8 +532,8 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
         )
         mixed = classes.where("mixed").select("k")
         if mixed.isEmpty() or not _collide(docs, rows, mixed, seed):
-            rows.cut_path = told.cut_path
-            return rows, classes, _hot_signatures(told, told.count()), seed
+            rows.cut_path, rows.cut_rows = told.cut_path, rows_of(told)  # or less
+            return rows, classes, _hot_signatures(told, rows_of(told)), seed
     raise CorruptionError("different sets share a key", seeds=SEEDS)
 
 
@@ -586,15 +586,15 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, in
     links = cut(_verified(tested, sets), "verified")
     roots = components(links)
     rest = cut(_cross(pool.join(tested, ["a", "b"], "left_anti"), roots), "rest")
-    if not rest.isEmpty():
+    if rows_of(rest):
         tested = tested.unionAll(rest)
         more = cut(_verified(rest, sets), "verified")
-        if not more.isEmpty():
+        if rows_of(more):
             links = links.unionAll(more)
             roots = components(links)
 
     everyone = False  # at first each with the head of its bucket, at last with all
-    while not large.isEmpty():
+    while rows_of(large):
         held = large.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
         held = cut(held.join(sizes, "k"), "held")
         apart = held.groupBy("bucket").agg(
@@ -611,7 +611,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, in
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = cut(_verified(pairs, sets), "verified")
         tested = tested.unionAll(pairs)
-        if more.isEmpty():
+        if not rows_of(more):
             if everyone:
                 break
             everyone = True
@@ -635,8 +635,10 @@ def joined(docs: DataFrame) -> DataFrame:
         rows, classes, roots, _ = linked_classes(docs)
         rooted = _rooted(classes, roots)
         least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = cut(spread_join(rooted.select("k", "root"), least, "root").select("k", "component_id"), "named")
-        out = spread_join(rows.where("n > 0").select("doc_id", "n", "k"), named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        named = cut(spread_join(rooted, least, "root").select("k", "component_id"), "named")
+        some = rows.where("n > 0").select("doc_id", "n", "k")
+        some.cut_rows = rows_of(rows)  # or less
+        out = spread_join(some, named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         keep(named)
         keep(rows)
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
@@ -673,7 +675,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         marked = held.join(stays, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk")), "left").fillna(False, ["stays"])
         gone = keep(cut(marked.where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "stays"), "gone"))
         single = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
-    bound = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    bound = F.broadcast(gone) if rows_of(gone) <= BROADCAST_ROWS else gone
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     if single:  # a doc_id names its row, so texts need not be looked at again
         return docs.join(bound, mine, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.storage import rows_of
+
 #: A value is hot if more than one row in ``SHARE`` has it, so there are fewer
 #: than ``SHARE`` hot values; up to ``FLOOR`` rows of one are no burden.
 SHARE, FLOOR = 1000, 1000
@@ -12,7 +14,10 @@ SHARE, FLOOR = 1000, 1000
 
 def hot_values(rows: DataFrame, on: str, share: int = SHARE, floor: int = FLOOR) -> list:
     """The values of column ``on`` that more than ``floor`` rows and one row in ``share`` have; fewer than ``share``."""
-    most = max(floor, rows.count() // share)
+    n = rows_of(rows)
+    if n <= floor:
+        return []
+    most = max(floor, n // share)
     counted = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     return [r[0] for r in counted.select(on).collect()]
 

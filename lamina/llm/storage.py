@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text in an Arrow batch: few, since the JVM and Python each hold one whole.
 BATCH_ROWS = 1000
@@ -60,17 +61,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result depends on no shuffle file or executor any more, so a later
-    loss of an executor recomputes nothing above this point.
+    loss of an executor recomputes nothing above this point. It knows the
+    number of its rows, see ``rows_of``.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path, counted = new_path(spark, label), Observation()
     with small_batches(spark):
-        df.write.parquet(path)
+        df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
+    out.cut_path, out.cut_rows = path, counted.get.get("n")
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, counted if it was not when ``df`` was written."""
+    known = getattr(df, "cut_rows", None)
+    return df.count() if known is None else known
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """The folders made inside are removed at the end, but for those of tables given to ``keep``.
