@@ -1,29 +1,34 @@
 """Operator 9: mixing sources to target weights.
 
-Every source's words, in the order of its documents, are packed into blocks of
-a fixed number of words. Output shards have a fixed number of slots. For each
-shard the number of slots of each source is drawn: the whole part of the
-expected number is given, the rest comes from a multinomial draw (residual
-multinomial sampling), so a source's share has little variance. The n-th slot
-of a source takes block ``permutation(n mod blocks)`` of that source, where the
-permutation is a keyed Feistel network, so any slot's block is computed alone
-and each pass over a source uses every block once. Slots are then joined with
-the blocks by (source, block index).
+Every source's words, in an order that the rows' contents fix, are packed into
+blocks of a fixed number of words. Output shards have a fixed number of slots.
+For each shard the number of slots of each source is a multinomial draw. Over
+all shards the draws of a source stray from its number of slots; an exact last
+step takes that up: a source's drawn slots beyond its number go, in order, to
+the sources that were drawn too seldom, so the sums are right and all else stays
+as drawn. The n-th slot of a source takes block ``permutation(n mod blocks)`` of
+that source, where the permutation is a keyed Feistel network, so any slot's
+block is computed alone and each pass over a source uses every block once.
+Slots are then joined with the blocks by (source, block index).
 
 Targets: a source's target is ``share`` times all words split by weight, but at
 most ``most`` times the source's size; what exceeds that is split again by
-weight among the others until none is above.
+weight among the others until none is above. A source's number of slots is its
+target in blocks, rounded so that the sum is right.
 
 At scale: the order inside a source is made by a two-level prefix sum over
 buckets of about ``BUCKET`` documents, so a source with a third of all rows is
 never one task's work; the join key (source, block) has as many values as there
 are blocks. The driver holds one row for each source (a name and two numbers).
-Draws depend on the seed and the shard's number alone, so reruns and lost
-tasks give the same mix.
+Draws depend on the seed and the shard's number alone, and the order on the
+rows' contents, so reruns, lost tasks and another split of the files give the
+same mix.
 
 Defined results: null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own and comes last; rows with the same doc_id are
-separate rows; an empty table gives no rows; other columns are ignored.
+separate rows (of rows that are alike in all three columns any may be the one
+that is taken more often); an empty table gives no rows; other columns are
+ignored. A text of any length is counted whole and may span many blocks.
 """
 
 from __future__ import annotations
@@ -35,12 +40,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.storage import cut, table
+from lamina.llm.storage import cut, rows_of, scratch, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Words in a block, slots in a shard, documents in a bucket of a source.
 BLOCK, SLOTS, BUCKET = 64, 4096, 500
+#: Shards whose counts one task draws.
+SHARDS = 100
 SEED = 20240601
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,10 +91,11 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def sized(docs: DataFrame, word: str = WORD) -> DataFrame:
-    """(doc_id, source, size): the words of each row."""
+    """(doc_id, source, size, h): the words of each row, and a hash that orders rows of one doc_id."""
+    text = F.col("text").cast("string")
     return docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(word)), F.lit(0)).cast("long").alias("size"),
+        "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(word)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"),
     )
 
 
@@ -96,11 +104,11 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, source, size) with ``at``: the words of the source before the row."""
-    buckets = max(1, rows.count() // BUCKET)
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    rows = cut(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(buckets))), "sized")
-    inner = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "uid").rowsBetween(Window.unboundedPreceding, -1)
+    """rows(doc_id, source, size, h) with ``at``: the words of the source before the row."""
+    rows = cut(rows, "sized")
+    buckets = max(1, rows_of(rows) // BUCKET)
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    inner = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     chunk = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     # buckets of a source are themselves summed in chunks of 1000
     chunk = chunk.withColumn("group", F.floor(F.col("bucket") / 1000))
@@ -114,7 +122,52 @@ def placed(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(chunk, _same(F.col("source"), F.col("cs")) & (F.col("bucket") == F.col("cb")))
-    return rows.withColumn("at", F.col("at") + F.col("base")).select("uid", "doc_id", "source", "size", "at")
+    return rows.withColumn("at", F.col("at") + F.col("base")).select("doc_id", "source", "size", "at")
+
+
+def slots_of(blocks: np.ndarray, sizes: list[int], aims: list[float]) -> np.ndarray:
+    """Each source's number of slots: its target in blocks, the largest remainders rounded up."""
+    wanted = np.array([b * t / s if s else 0.0 for b, t, s in zip(blocks.tolist(), aims, sizes, strict=True)])
+    out = np.floor(wanted + 1e-9).astype(np.int64)
+    order = np.argsort(-(wanted - out), kind="stable")
+    out[order[: int(round(wanted.sum())) - int(out.sum())]] += 1
+    return out
+
+
+class Draw:
+    """The slots of every shard: how many of each source, and which of a source's blocks.
+
+    All of it is a function of the seed and of the numbers of the sources.
+    """
+
+    def __init__(self, blocks: np.ndarray, wanted: np.ndarray, slots: int, seed: int) -> None:
+        self.blocks, self.wanted, self.slots, self.seed = blocks, wanted, slots, seed
+        self.total = int(wanted.sum())
+        self.shards = -(-self.total // slots)
+        self.drawn = wanted  # once known: how many slots of each source all shards have drawn
+
+    def counts(self, shard: int) -> np.ndarray:
+        n = min(self.slots, self.total - shard * self.slots)
+        return np.random.default_rng([self.seed, shard]).multinomial(n, self.wanted / self.total)
+
+    def corrected(self, source: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(source, turn) of drawn slots: those beyond a source's number go to the sources drawn too seldom."""
+        over, short = np.maximum(self.drawn - self.wanted, 0), np.maximum(self.wanted - self.drawn, 0)
+        of = np.full(len(turn), source, dtype=np.int64)
+        much = np.flatnonzero(turn >= self.wanted[source])
+        if len(much):
+            rank = turn[much] - self.wanted[source] + over[:source].sum()
+            ends = np.cumsum(short)
+            to = np.searchsorted(ends, rank, side="right")
+            of[much], turn = to, turn.copy()
+            turn[much] = self.drawn[to] + rank - (ends - short)[to]
+        return of, turn
+
+    def block(self, source: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        lap, index = np.divmod(turn, self.blocks[source])
+        with np.errstate(over="ignore"):
+            key = (np.uint64(self.seed) * np.uint64(31) + source.astype(np.uint64)) * np.uint64(1_000_003) + lap.astype(np.uint64)
+        return permuted(index, self.blocks[source], key)
 
 
 def mix(
@@ -127,75 +180,58 @@ def mix(
     source, block, which lists the mix block by block.
     """
     spark = docs.sparkSession
-    rows = cut(placed(sized(docs)), "placed")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in found]
-    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-    blocks = np.array([-(-s // block) for s in sizes], dtype=np.int64)
-    wanted = np.array([b * t / s if s else 0.0 for b, t, s in zip(blocks, aims, sizes, strict=True)])
-    limit = np.floor(most * blocks + 1e-9).astype(np.int64)
-    total = int(round(wanted.sum()))
-    p = wanted / wanted.sum() if total else wanted
-    shards = -(-total // slots)
-
-    # documents with what their source has
-    about = spark.createDataFrame(
-        [(i, r.source, int(s), float(t)) for i, (r, s, t) in enumerate(zip(found, sizes, aims, strict=True))],
-        "sid int, name string, source_size long, target double",
-    )
-    rows = rows.join(F.broadcast(about) if len(found) < 100_000 else about, _same(F.col("source"), F.col("name")))
-
-    def counts(shard: int) -> np.ndarray:
-        n = min(slots, total - shard * slots)
-        fixed = np.floor(p * n)
-        rest = p * n - fixed
-        left = int(n - fixed.sum())
-        drawn = np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum()) if left else 0
-        return (fixed + drawn).astype(np.int64)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard in pdf["id"]:
-                c = counts(int(shard))
-                sid = np.flatnonzero(c)
-                yield pd.DataFrame({"shard": int(shard), "sid": sid.astype(np.int32), "n": c[sid]})
-
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInPandas(draw, "shard long, sid int, n long")
-    drawn = cut(drawn.withColumn("part", F.floor(F.col("shard") / 1000)), "drawn")
-    before = Window.partitionBy("sid", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    parts = drawn.groupBy("sid", "part").agg(F.sum("n").alias("pn"))
-    above = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("sid", "part", F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("above"))
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, ["sid", "part"])
-    drawn = drawn.select("shard", "sid", "n", (F.col("first") + F.col("above")).alias("first"))
-    drawn = drawn.repartition(1 + total // 100_000, "shard", "sid")  # few rows, but of many slots each
+    with scratch(spark) as keep:
+        rows = keep(cut(placed(sized(docs)), "placed"))
+        found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
+        found.sort(key=lambda r: (r.source is None, r.source or ""))
+        sizes = [r["size"] for r in found]
+        aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
+        blocks = np.array([-(-s // block) for s in sizes], dtype=np.int64)
+        draw = Draw(blocks, slots_of(blocks, sizes, aims), slots, seed)
+
+        # documents with what their source has
+        about = spark.createDataFrame(
+            [(i, r.source, int(s), float(t)) for i, (r, s, t) in enumerate(zip(found, sizes, aims, strict=True))],
+            "sid int, name string, source_size long, target double",
+        )
+        rows = rows.join(F.broadcast(about) if len(found) < 100_000 else about, _same(F.col("source"), F.col("name")))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for shard in pdf["id"]:
+                    c = draw.counts(int(shard))
+                    sid = np.flatnonzero(c)
+                    yield pd.DataFrame({"shard": int(shard), "sid": sid.astype(np.int32), "n": c[sid]})
+
+        drawn = spark.range(0, draw.shards, 1, 1 + draw.shards // SHARDS).mapInPandas(count, "shard long, sid int, n long")
+        drawn = cut(drawn.withColumn("part", F.floor(F.col("shard") / 1000)), "drawn")
+        before = Window.partitionBy("sid", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        parts = drawn.groupBy("sid", "part").agg(F.sum("n").alias("pn"))
+        above = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("sid", "part", F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("above"))
+        sums = {r.sid: r.n for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+        draw.drawn = np.array([sums.get(i, 0) for i in range(len(found))], dtype=np.int64)
+        drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, ["sid", "part"])
+        drawn = drawn.select("shard", "sid", "n", (F.col("first") + F.col("above")).alias("first"))
+        drawn = keep(cut(drawn.repartition(1 + draw.total // 100_000, "shard", "sid"), "turns"))  # few rows, but of many slots each
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard, s, n, first in pdf.itertuples(index=False):
-                turn = np.arange(first, min(first + n, limit[s]))  # a source ends at ``most`` passes
-                if not len(turn):
-                    continue
-                lap, index = np.divmod(turn, blocks[s])
-                with np.errstate(over="ignore"):
-                    key = (np.uint64(seed) * np.uint64(31) + np.uint64(s)) * np.uint64(1_000_003) + lap.astype(np.uint64)
-                yield pd.DataFrame({
-                    "shard": shard, "slot": np.arange(len(turn)), "sid": np.int32(s),
-                    "block": permuted(index, np.full(len(turn), blocks[s]), key),
-                })
+                of, turn = draw.corrected(s, np.arange(first, first + n))
+                yield pd.DataFrame({"shard": shard, "slot": np.arange(n), "sid": of.astype(np.int32), "block": draw.block(of, turn)})
 
     chosen = drawn.mapInPandas(choose, "shard long, slot long, sid int, block long")
     times = chosen.groupBy("sid", "block").agg(F.count("*").alias("times"))
 
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
-    of = rows.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), last)).otherwise(F.array(F.lit(-1).cast("long")))))
+    of = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
     joined = of.withColumn("words", words).join(times, ["sid", "block"], "left")
-    documents = joined.groupBy("uid", "doc_id", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken")
-    ).drop("uid")
-    return documents, chosen.join(F.broadcast(about.select("sid", F.col("name").alias("source"))), "sid")
+    # a row with words is told from others of its source by where it begins
+    taken = joined.groupBy("sid", "at", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
+    none = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return taken.drop("sid", "at").unionAll(none), chosen.join(F.broadcast(about.select("sid", F.col("name").alias("source"))), "sid")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
