@@ -5,10 +5,12 @@ mod-97, digit counts) confirm them, and words close to a span move its score.
 One map-only pass; no Python, no shuffle.
 
 Spans are found with ``regexp_extract_all`` for the matches and ``split`` on
-the same pattern for what lies between, so a fold over both gives every match
-its place in code points. The patterns are written so that the matcher never
-backtracks over a run of characters (possessive repeats, and a look-behind
-that starts a match only where a run starts), so time is linear in the text.
+the same pattern for what lies between; the running sum of their lengths gives
+every match its place in code points. Folds are made in groups of a fixed size
+(``_running``), so time is linear in the matches. The patterns are written so
+that the matcher never backtracks over a run of characters (possessive repeats,
+and a look-behind that starts a match only where a run starts), so time is
+linear in the text too.
 
 Base kinds (email, ip, card, phone) are kept once validated, whatever their
 score. The kinds that the method adds (iban, ssn, secret) need a score of
@@ -21,6 +23,7 @@ repeated; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +34,10 @@ from lamina.llm.storage import table
 MIN_SCORE = 50
 #: Code points before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
+#: Values that are folded at once, and levels of such groups.
+GROUP, LEVELS = 32, 4
+#: Code points of a piece of a text that is redacted.
+CHUNK = 1024
 
 
 @dataclass(frozen=True)
@@ -79,25 +86,56 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, start: Column, step: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """For each of ``values`` the fold of ``start`` and all values before it.
+
+    ``step`` is associative. Values are folded in groups of ``GROUP``, whose own
+    folds are made likewise, so an array of n is copied about GROUP / 2 * n
+    times instead of n * n / 2 (for up to GROUP ** (levels + 1) values).
+    """
+
+    def short(part: Column, first: Column) -> Column:
+        none = F.array().cast("array<int>")
+        grown = F.aggregate(
+            part, F.struct(first.alias("now"), none.alias("out")),
+            lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")),
+        )
+        return grown["out"]
+
+    if not levels:
+        return short(values, start)
+
+    def grouped(all_: Column) -> Column:
+        part = lambda i: F.slice(all_, i * GROUP + 1, F.lit(GROUP))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda i: F.aggregate(part(i), F.lit(0), step))
+        return _let(_running(sums, start, step, levels - 1), lambda before: F.flatten(F.transform(before, lambda first, i: short(part(i), first))))
+
+    return F.when(F.size(values) <= GROUP, short(values, start)).otherwise(_let(values, grouped))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """Array of (kind, start, end, score) of the kept spans of one kind."""
-    between, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    rows = F.arrays_zip(between.alias("gap"), found.alias("m"), F.slice(between, F.lit(2), F.size(between)).alias("after"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:int>>")
 
-    def step(acc: Column, row: Column) -> Column:
-        m, start = row["m"], acc["at"] + F.length(row["gap"])
-        end = start + F.coalesce(F.length(m), F.lit(0))
-        near = F.right(row["gap"], F.lit(BEFORE)).rlike(kind.context) | F.left(row["after"], F.lit(AFTER)).rlike(kind.context)
+    def placed(found: Column, gaps: Column) -> Column:
+        each = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return _let(_running(each, F.lit(0), lambda x, y: x + y), lambda at: F.transform(found, lambda m, i: span(m, F.get(at, i), F.get(gaps, i), F.get(gaps, i + 1))))
+
+    def span(m: Column, at: Column, gap: Column, after: Column) -> Column:
+        near = F.right(gap, F.lit(BEFORE)).rlike(kind.context) | F.left(after, F.lit(AFTER)).rlike(kind.context)
+        start = at + F.length(gap)
         score = F.lit(kind.score) + F.when(near, BONUS).otherwise(0)
-        keep = m.isNotNull() & _valid(kind.name, m)
-        if not kind.base:
-            keep = keep & (score >= MIN_SCORE)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        made = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"))
+        return F.when(_valid(kind.name, m) & (score >= (0 if kind.base else MIN_SCORE)), made)
 
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-    return F.when(F.size(found) > 0, folded).otherwise(none)
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    kept = lambda m: F.filter(_let(F.split(text, kind.pattern, -1), lambda gaps: placed(m, gaps)), lambda s: s.isNotNull())
+    return _let(found, lambda m: F.when(F.size(m) > 0, kept(m)).otherwise(none))
 
 
 def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
@@ -122,6 +160,32 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each of the spans (sorted by start) replaced, but for those that begin within one before.
+
+    The text is cut into chunks once, since a substring is looked for from the start of its string.
+    """
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), a - first * CHUNK + 1, b - a)
+
+    def filled(chunks: Column, ends: Column) -> Column:
+        def put(s: Column, i: Column) -> Column:
+            label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= F.get(ends, i), F.concat(piece(chunks, F.get(ends, i), s["start"]), label)).otherwise("")
+
+        end = F.greatest(F.element_at(ends, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(spans, put), ""), piece(chunks, end, F.length(text)))
+
+    return _let(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
+        lambda chunks: _let(
+            _running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y)), lambda ends: filled(chunks, ends)
+        ),
+    )
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs, every span of ``text`` replaced by its kind in brackets; null stays null.
 
@@ -129,20 +193,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     placed = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     spans = F.array_sort(F.flatten(F.array(*(F.transform(F.col(f"pii_{k.name}"), placed) for k in KINDS))))
-
-    def step(acc: Column, s: Column) -> Column:
-        s0, s1, kind = s["start"], s["end"], s["kind"]
-        clear = s0 >= acc["at"]
-        text = F.when(clear, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s0 - acc["at"]), F.lit("["), F.upper(kind), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s1).alias("at"), text.otherwise(acc["out"]).alias("out"))
-
-    folded = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
     # the whole table under names that clash with none of the spans'
     plain = [f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
-    text = F.when(F.size(spans) > 0, folded).otherwise(F.col("text"))
+    text = _let(spans, lambda s: F.when(F.size(s) > 0, _replaced(F.col("text"), s)).otherwise(F.col("text")))
     done = with_spans(docs.toDF(*plain)).select(*(text.alias("text") if c == "text" else F.col(c) for c in plain)).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

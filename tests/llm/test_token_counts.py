@@ -25,10 +25,22 @@ def test_counts_match_the_tokenizer(spark, make, sf, encoder):
     assert t.token_counts(make([])).count() == 0
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(1, 1), (2, 3), (3, 2), (7, 1), (64, 4), (1000, 1000)])
-def test_blocks_are_stitched(spark, tmp_path, block, chunk):
-    """Documents over many blocks, empty ones, separators at block borders, an open end."""
-    rng = np.random.default_rng(block)
+@pytest.fixture
+def splits(spark):
+    """Splits of a few bytes, and Arrow batches of few lines."""
+    keys = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("chunk", "eod"), [(1 << 32, t.EOD), (100, t.EOD), (1, 0x0A41), (30, 0x410A)])
+def test_splits_are_stitched(spark, tmp_path, splits, chunk, eod):
+    """Documents over many splits, empty ones, ids that hold the cut's byte, false hits at odd bytes, an open end."""
+    rng = np.random.default_rng(chunk)
     want = []
     for f, closed in enumerate([True, False, True]):
         lengths = [0, 0, 1, 2, 3, 40, 0, 7, *rng.integers(0, 9, 20).tolist(), 0]
@@ -36,14 +48,24 @@ def test_blocks_are_stitched(spark, tmp_path, block, chunk):
         for k, n in enumerate(lengths):
             last = k == len(lengths) - 1
             want.append((f"{f}.bin", k, len(ids), n + (2 if last and not closed else 0), closed or not last))
-            ids += rng.integers(0, t.EOD, n).tolist() + ([t.EOD] if closed or not last else [1, 2])
+            # many bytes of the separator and of the cut
+            some = rng.choice([eod & 255, eod >> 8, 10, 32, 0, 255], (n, 2)) @ [1, 256]
+            ids += [int(x) if x != eod else 1 for x in some] + ([eod] if closed or not last else [1, 2])
         np.array(ids, "<u2").tofile(tmp_path / f"{f}.bin")
     (tmp_path / "3.bin").touch()
-    rows = t.separator_scan(spark, f"file://{tmp_path}", block=block, chunk=chunk).collect()
+    (tmp_path / "4.bin").write_bytes(b"\x01\x00\x02")
+    want.append(("4.bin", 0, 0, 1, False))
+    rows = t.separator_scan(spark, f"file://{tmp_path}", eod=eod, chunk=chunk).collect()
     assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.closed) for r in rows) == sorted(want)
 
 
-def test_heads_cross_blocks(spark, make):
-    path = t.write_token_files(make([(i, "w " * i) for i in range(30)]), new_path(spark, "t"))
-    rows = t.separator_scan(spark, path, header=t.HEADER, block=4, chunk=2).collect()
+def test_heads_cross_splits(spark, make, splits):
+    path = t.write_token_files(make([(i, "w\n " * i) for i in range(30)]), new_path(spark, "t"))
+    rows = t.separator_scan(spark, path, header=t.HEADER, chunk=64).collect()
     assert sorted(t._doc_id(np.array(r.head)) for r in rows) == list(range(30))
+
+
+def test_a_tokenizer_must_leave_the_separator_free(make, monkeypatch):
+    monkeypatch.setattr(t, "EOD", 5)
+    with pytest.raises(ValueError):
+        t.write_token_files(make([(1, "a")]), "unused")
