@@ -7,14 +7,14 @@ Deletions are dropped strictly above the aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.errors import ValidationError
+from lamina.errors import invalid
 
 
 def merged(*layers: DataFrame) -> DataFrame:
@@ -31,9 +31,29 @@ def resolved(changes: DataFrame, *by: str) -> DataFrame:
     return changes.groupBy(*by, "key").agg(newest).select(*by, "key", "n.layer", "n.ord", "n.seq", "n.op", "n.value")
 
 
-def visible(changes: DataFrame) -> DataFrame:
+def newest(changes: DataFrame) -> DataFrame:
+    """The newest change of each key where ``ord`` orders all layers: late changes may lie in newer ones."""
+    best = F.max(F.struct("ord", "layer", "seq", "op", "value")).alias("n")
+    return changes.groupBy("key").agg(best).select("key", "n.layer", "n.ord", "n.seq", "n.op", "n.value")
+
+
+#: How the newest changes are found: ``resolved`` or ``newest``.
+Newest = Callable[[DataFrame], DataFrame]
+
+
+def visible(changes: DataFrame, newest: Newest = resolved) -> DataFrame:
     """(key, value) of the live keys."""
-    return resolved(changes).where("value is not null").select("key", "value")
+    return newest(changes).where("value is not null").select("key", "value")
+
+
+def numbered(ranged: DataFrame) -> DataFrame:
+    """(layer, ord, key, value) of rows(layer, key, value, file, i) in files that are ranges of keys, in the order of their names.
+
+    ``ord`` is the rows in the files before, and those before in its own, and 1.
+    """
+    sizes = ranged.groupBy("file").agg(F.count("*").alias("n"))  # a row for each file
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranged.join(before, "file").select("layer", (F.col("before") + F.col("i") + 1).alias("ord"), "key", "value")
 
 
 def _range(start: str | None, end: str | None) -> Column:
@@ -47,15 +67,15 @@ def _range(start: str | None, end: str | None) -> Column:
 
 def check_range(start: str | None, end: str | None, limit: int | None) -> None:
     if limit is not None and limit <= 0:
-        raise ValidationError("limit must be positive", value=limit)
+        raise invalid("limit must be positive", value=limit)
     if start and end and end < start:
-        raise ValidationError("range end lies before its start", start=start, end=end)
+        raise invalid("range end lies before its start", start=start, end=end)
 
 
-def scan(changes: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
+def scan(changes: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None, newest: Newest = resolved) -> DataFrame:
     """Live (key, value) in key order, from ``start`` up to but without ``end``."""
     check_range(start, end, limit)
-    rows = visible(changes.where(_range(start, end))).orderBy("key")
+    rows = visible(changes.where(_range(start, end)), newest).orderBy("key")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -64,7 +84,7 @@ def prefix_scan(changes: DataFrame, prefix: str) -> DataFrame:
     return visible(changes.where(F.col("key").startswith(prefix))).orderBy("key")
 
 
-def states(changes: DataFrame, keys: DataFrame, small: int | None = None) -> DataFrame:
+def states(changes: DataFrame, keys: DataFrame, small: int | None = None, newest: Newest = resolved) -> DataFrame:
     """(key, state, value, layer) of each requested key: hit, tombstone or miss.
 
     ``small``: the number of requested keys if known; up to 100,000 they are
@@ -73,9 +93,9 @@ def states(changes: DataFrame, keys: DataFrame, small: int | None = None) -> Dat
     wanted = keys.select("key").distinct()
     if small is not None and small <= 100_000:
         changes = changes.join(F.broadcast(wanted), "key", "left_semi")
-    newest = resolved(changes).select("key", "value", "layer", F.lit(True).alias("found"))
+    known = newest(changes).select("key", "value", "layer", F.lit(True).alias("found"))
     state = F.when(F.col("found").isNull(), "miss").when(F.col("value").isNull(), "tombstone").otherwise("hit")
-    return wanted.join(newest, "key", "left").select("key", state.alias("state"), "value", "layer")
+    return wanted.join(known, "key", "left").select("key", state.alias("state"), "value", "layer")
 
 
 def lookup(changes: DataFrame, key: str) -> tuple[bool, str | None]:
@@ -84,7 +104,7 @@ def lookup(changes: DataFrame, key: str) -> tuple[bool, str | None]:
     return row.n > 0, row.v["value"] if row.n else None
 
 
-def as_of(changes: DataFrame, layer: int, ord: int) -> DataFrame:
+def as_of(changes: DataFrame, layer: int | Column, ord: int | Column) -> DataFrame:
     """Live (key, value) as they were when (layer, ord) was the newest change."""
     return visible(changes.where((F.col("layer") < layer) | ((F.col("layer") == layer) & (F.col("ord") <= ord))))
 

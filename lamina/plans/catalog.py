@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import codec
-from lamina.operators import report, resolve
+from lamina.operators import recover, report, resolve
+from lamina.sources.shared import fresh_dir
+from lamina.sources.store import Store
 
 LIVE = 4
 
@@ -52,6 +54,14 @@ def conversations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """The events as a store of its own: three sealed tables and a live log."""
+    store = Store(spark, fresh_dir(spark, "store"), memtable_limit=1 << 62)
+    changes = events_log(spark, sf_dir).drop("shard")
+    store.load(changes.where(F.col("layer") < LIVE), changes.where(F.col("layer") == LIVE))
+    return store
+
+
 EVENTS = """
 c AS (SELECT CAST(CASE WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 WHEN day(ts) <= 25 THEN 3 ELSE 4 END AS BIGINT) AS layer,
              event_id + 1 AS ord, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 'del' ELSE 'put' END AS op,
@@ -152,17 +162,18 @@ r AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDE
 SELECT key, value FROM r WHERE value IS NOT NULL""")
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = events_log(spark, sf_dir)
-    bound = changes.agg(F.max("ord")).first()[0] // 2
-    layer = changes.where(F.col("ord") <= bound).agg(F.max("layer")).first()[0]
-    return resolve.as_of(changes, layer, bound)
+    bound = changes.agg(F.floor(F.max("ord") / 2).alias("bound"))
+    known = changes.join(F.broadcast(bound), F.col("ord") <= F.col("bound"))  # one row
+    then = known.agg(F.max(F.struct("layer", "ord")).alias("then"))
+    return resolve.as_of(changes.join(F.broadcast(then)), F.col("then.layer"), F.col("then.ord"))  # one row
 
 
 @query(f"""WITH {EVENTS} SELECT layer, key, ord, op, value FROM
 (SELECT *, row_number() OVER (PARTITION BY layer, key ORDER BY ord DESC) AS n FROM c) WHERE n = 1""")
 def flush_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = events_log(spark, sf_dir)
-    sealed = changes.groupBy("layer", "key").agg(F.max(F.struct("ord", "op", "value")).alias("n"))
-    return sealed.select("layer", "key", "n.ord", "n.op", "n.value")
+    store, live = _store(spark, sf_dir), F.lit(LIVE).cast("long")
+    number = store.flush()
+    return store.sealed().select(F.when(F.col("layer") == number, live).otherwise(F.col("layer")).alias("layer"), "key", "ord", "op", "value")
 
 
 @query(f"""WITH RECURSIVE {EVENTS},
@@ -189,24 +200,17 @@ def memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS}, {NEWEST} SELECT CAST(5 AS BIGINT) AS layer, row_number() OVER (ORDER BY key) AS ord, key, value FROM r WHERE value IS NOT NULL")
 def compact_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = events_log(spark, sf_dir)
-    live = resolve.visible(changes)
-    number = changes.agg((F.max("layer") + 1).alias("layer"))
-    # a position in key order: rows before in earlier ranges, then inside the range
-    ranged = live.repartitionByRange(8, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("key"))
-    placed = ranged.withColumn("inside", inside).join(F.broadcast(before), "part")
-    return placed.join(F.broadcast(number)).select("layer", (F.col("before") + F.col("inside")).alias("ord"), "key", "value")
-
-
-@query(f"""WITH {EVENTS}, {NEWEST} SELECT (SELECT max(layer) + 1 FROM c) AS table_number, count(value) AS keys,
+    store = _store(spark, sf_dir)
+    store.flush()
+    return store.numbered(store.compact()["table"])
+
+
+@query(f"""WITH {EVENTS}, {NEWEST} SELECT (SELECT max(layer) + 1 FROM c WHERE layer < 4) AS table_number, count(value) AS keys,
 (SELECT count(DISTINCT layer) FROM c WHERE layer < 4) AS removed_tables FROM r""")
 def compact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = events_log(spark, sf_dir)
-    tables = changes.agg((F.max("layer") + 1).alias("table_number"), F.count_distinct(F.when(F.col("layer") < LIVE, F.col("layer"))).alias("removed_tables"))
-    return tables.crossJoin(resolve.visible(changes).agg(F.count("*").alias("keys"))).select("table_number", "keys", "removed_tables")
+    """The log is compacted as it is, so the new table takes the number after the sealed ones."""
+    done = _store(spark, sf_dir).compact()
+    return spark.createDataFrame([(done["table"], done["keys"], done["removedTables"])], "table_number long, keys long, removed_tables long")
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer, key ORDER BY ord DESC) AS n FROM c) WHERE n = 1),
@@ -280,26 +284,41 @@ def log_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(body.cast("binary"), 256).alias("payload_sha256"))
 
 
-@query(None)
-def log_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB has no CRC-32; the tests compare with zlib."""
+#: CRC-32 of the bytes of ``body``, bit by bit: DuckDB has no such function.
+CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(body)) + 1),
+         lambda i: CAST('0x' || substr(hex(encode(body)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+         lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+LINES = f"""
+j AS (SELECT shard, ord, seq, '{{"key":' || to_json(key) || ',"op":"' || op || '","seq":' || CAST(seq AS VARCHAR) || CASE WHEN value IS NULL THEN '' ELSE ',"value":' || to_json(value) END || '}}' AS body FROM c),
+l AS (SELECT shard, ord, seq, printf('%08x', xor({CRC}, 4294967295)) || ' ' || body AS line FROM j)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
     body = codec.record_json(F.col("key"), F.col("op"), F.col("seq"), F.col("value"))
-    return log.select("seq", codec.record_line(body).alias("line"))
+    return log.select("shard", "ord", "seq", codec.record_line(body).alias("line"))
 
 
-@query(f"""WITH {EVENTS}, b AS (SELECT shard, min(ord) AS bad FROM c WHERE op = 'put' AND value LIKE '%7%' GROUP BY shard)
-SELECT c.shard, count(*) FILTER (b.bad IS NULL OR c.ord < b.bad) AS records,
-       CAST(coalesce(sum(length(c.value)) FILTER (c.ord >= b.bad), 0) AS BIGINT) AS truncated
-FROM c LEFT JOIN b ON c.shard = b.shard GROUP BY c.shard""")
+@query(f"WITH {EVENTS}, {LINES} SELECT seq, line FROM l")
+def log_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("seq", "line")
+
+
+@query(f"""WITH {EVENTS}, {LINES}, d AS (SELECT shard, ord, seq, octet_length(encode(line)) + 1 AS size, seq % 29 = 7 OR seq % 31 = 5 OR seq % 37 = 9 OR seq % 41 = 11 AS bad FROM l),
+b AS (SELECT shard, min(ord) AS bad FROM d WHERE bad GROUP BY shard)
+SELECT d.shard, count(*) FILTER (b.bad IS NULL OR ord < b.bad) AS records, arg_max(seq, ord) FILTER (b.bad IS NULL OR ord < b.bad) AS last_sequence,
+       CAST(coalesce(sum(size) FILTER (b.bad IS NULL OR ord < b.bad), 0) AS BIGINT) AS good_bytes, CAST(coalesce(sum(size) FILTER (ord >= b.bad), 0) AS BIGINT) AS truncated_bytes
+FROM d LEFT JOIN b ON d.shard = b.shard GROUP BY d.shard""")
 def recover_valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of recovery, with a stand-in for a bad checksum."""
-    log = events_log(spark, sf_dir)
-    bad = F.min(F.when((F.col("op") == "put") & F.col("value").contains("7"), F.col("ord"))).over(Window.partitionBy("shard"))
-    kept = F.col("bad").isNull() | (F.col("ord") < F.col("bad"))
-    return log.withColumn("bad", bad).groupBy("shard").agg(
-        F.count_if(kept).alias("records"), F.coalesce(F.sum(F.when(~kept, F.length("value"))), F.lit(0)).cast("long").alias("truncated")
+    """Recovery of a log for each day: a line's checksum, its payload, its layout or its end is damaged at places."""
+    seq, line = F.col("seq"), F.col("line")
+    damaged = F.when(seq % 29 == 7, F.translate(line, "0123456789", "1234567890")).when(seq % 31 == 5, F.concat(F.substring(line, 1, 9), F.reverse(F.substring(line, 10, 9999))))
+    damaged = damaged.when(seq % 37 == 9, F.replace(line, F.lit(" "), F.lit("_"))).otherwise(line)
+    lines = _lines(spark, sf_dir).select(
+        F.col("shard").alias("file"), "ord", damaged.alias("line"), (F.octet_length("line") + 1).cast("long").alias("size"), (seq % 41 != 11).alias("ended")
     )
+    _, reports = recover.recovered(lines)
+    return reports.withColumnRenamed("file", "shard").select("shard", "records", "last_sequence", "good_bytes", "truncated_bytes")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN contains(text, chr(9)) THEN 'tab' WHEN contains(text, chr(10)) THEN 'newline' END AS key_error

@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.errors import CorruptionError, ValidationError
+from lamina.errors import corrupt, invalid
 from lamina.functions import codec
 from lamina.model import HASHES
 from lamina.operators.recover import log_lines, recovered
@@ -18,6 +18,8 @@ from lamina.operators.report import bloom
 from lamina.operators.resolve import sealed_order
 
 TOMBSTONE = "~"
+#: Entries of a layer that may be one text file.
+MOST_ENTRIES = 1_000_000
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +47,7 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     )
     bad = files.select("path", wrong.alias("wrong")).where("wrong is not null").orderBy("path").first()
     if bad:
-        raise CorruptionError(bad.wrong, path=bad.path)
+        raise corrupt(bad.wrong, path=bad.path)
     value = F.split_part("e", F.lit("\t"), F.lit(2))
     return files.select("layer", F.explode("entries").alias("e")).select(
         "layer", F.split_part("e", F.lit("\t"), F.lit(1)).alias("key"), F.when(value != TOMBSTONE, codec.unbase64(value)).alias("value")
@@ -64,13 +66,16 @@ def log_text(changes: DataFrame) -> DataFrame:
 
 
 def table_text(layer: DataFrame) -> str:
-    """A sealed layer of modest size as one table file's text.
+    """A sealed layer of at most ``MOST_ENTRIES`` entries as one table file's text.
 
     For export to single-file consumers; the file format is itself one text
     with a checksum over all of it. Layers of any size are Parquet.
     """
+    entries = layer.count()
+    if entries > MOST_ENTRIES:
+        raise invalid("the layer is too large for one text file", entries=entries, most=MOST_ENTRIES)
     if not sealed_order(layer).isEmpty():
-        raise ValidationError("table keys must be unique")
+        raise invalid("table keys must be unique")
     entry = F.concat("key", F.lit("\t"), F.coalesce(codec.base64(F.col("value")), F.lit(TOMBSTONE)))
     rows = [r.e for r in layer.orderBy("key").select(entry.alias("e")).toLocalIterator()]
     positions = [r.position for r in bloom(layer.select(F.lit(1).alias("layer"), "key")).collect()] if rows else []

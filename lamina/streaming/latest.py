@@ -20,9 +20,14 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 def into_store(changes: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch of changes(ord, key, op, value) to a store's log as one commit."""
+    """Append each micro-batch of changes(ord, key, op, value) to a store's log as one commit.
 
-    def append(batch: DataFrame, _number: int) -> None:
-        store.apply(batch)
+    ``ord`` is the version of the source, so a change that comes late loses to
+    a newer one of its key. The manifest keeps the number of the last batch of
+    each checkpoint, so a batch that is tried again changes nothing.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        store.apply(batch, versions=True, batch=(checkpoint, number))
 
     return changes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

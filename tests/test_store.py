@@ -1,12 +1,15 @@
 import base64
 import json
+import os
+import threading
 import zlib
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamina import cli
-from lamina.errors import CorruptionError, ValidationError
+from lamina.errors import Kind, LaminaError
 from lamina.functions import codec
 from lamina.model import CHANGE
 from lamina.operators import recover, resolve
@@ -20,6 +23,13 @@ def store(spark, tmp_path):
     return Store(spark, f"file://{tmp_path}/s")
 
 
+@contextmanager
+def fails(kind, match=None):
+    with pytest.raises(LaminaError, match=match) as caught:
+        yield
+    assert caught.value.kind is kind
+
+
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
@@ -51,16 +61,16 @@ def test_reads_across_layers(spark, store):
 
 def test_limits_and_validation(spark, store, tmp_path):
     for key in ("", "a\tb", "a\nb"):
-        with pytest.raises(ValidationError):
+        with fails(Kind.REQUEST):
             store.put(key, "v")
     for args in ({"start": "z", "end": "a"}, {"limit": 0}):
-        with pytest.raises(ValidationError):
+        with fails(Kind.REQUEST):
             store.scan(**args)
-    with pytest.raises(ValidationError):
+    with fails(Kind.REQUEST):
         store.apply(batch(spark, ("a", "merge", "1")))
-    with pytest.raises(ValidationError):
+    with fails(Kind.REQUEST):
         store.apply(batch(spark, ("a", "put", None)))
-    with pytest.raises(ValidationError):
+    with fails(Kind.REQUEST):
         Store(spark, "x", 0)
     assert store.compact()["keys"] == 0 and store.verify()["tables"][0]["bloom"] == {"bits": 64, "hashes": 4, "bytes": 8}
     small = Store(spark, f"file://{tmp_path}/small", memtable_limit=3)
@@ -70,7 +80,7 @@ def test_limits_and_validation(spark, store, tmp_path):
     assert small.stats()["tables"] == 1 and small.stats()["walRecords"] == 0
     one, two = store.manifest(), store.manifest()
     store._commit(one)
-    with pytest.raises(ValidationError):
+    with fails(Kind.REQUEST):
         store._commit(two)
 
 
@@ -118,7 +128,7 @@ def test_recovery_stops_at_the_first_bad_line(spark, tmp_path):
     assert sorted(rows(resolve.resolved(kept).select("key", "value"))) == [("a", ""), ("b", None)]
 
 
-def test_table_files_round_trip_and_seal(spark, store, tmp_path):
+def test_table_files_round_trip_and_seal(spark, store, tmp_path, monkeypatch):
     layer = spark.createDataFrame([("b", None), ("a", "é" * 90), ("c", "")], "key string, value string")
     text = tables.table_text(layer)
     head, *entries, foot = text.rstrip("\n").split("\n")
@@ -130,12 +140,16 @@ def test_table_files_round_trip_and_seal(spark, store, tmp_path):
     (src / "table-000002.sst").write_text(text)
     (src / "wal.log").write_text("".join(map(line, GOOD)) + "torn")
     assert store.import_files(f"file://{src}") == {"tables": 1, "truncatedBytes": 4}
+    assert store.verify()["wal"]["truncatedBytes"] == 4 and store.stats()["walTruncatedBytes"] == 4
     assert store.get("c") == (True, "") and store.get("a") == (True, "") and store.stats()["nextTableNumber"] == 3
     (src / "table-000002.sst").write_text(text[:40] + "Z" + text[41:])
-    with pytest.raises(CorruptionError):
+    with fails(Kind.DATA):
         tables.read_tables(spark, f"file://{src}")
-    with pytest.raises(ValidationError):
+    with fails(Kind.REQUEST):
         tables.table_text(layer.union(layer))
+    monkeypatch.setattr(tables, "MOST_ENTRIES", 2)
+    with fails(Kind.REQUEST, "too large"):
+        tables.table_text(layer)
 
 
 def test_versions_and_tombstones(spark):
@@ -185,5 +199,93 @@ def test_streams(spark, store, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(rows(spark.table("latest_rows").select("key", "ord", "value"))) == [("a", 2, "new"), ("b", 3, None)]
-    into_store(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "ck")).awaitTermination()
-    assert rows(store.scan()) == [("a", "new")]
+    into_store(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), store, str(tmp_path / "ck")).awaitTermination()
+    assert rows(store.scan()) == [("a", "new")] and store.manifest()["streams"] == {str(tmp_path / "ck"): max(int(f) for f in os.listdir(tmp_path / "ck/commits") if f.isdigit())}
+
+
+def test_late_changes_lose_and_batches_count_once(spark, store):
+    one = lambda ord_, op, key, value=None: spark.createDataFrame([(ord_, key, op, value)], "ord long, key string, op string, value string")
+    assert store.apply(one(5, "put", "a", "new"), versions=True, batch=("s", 0)) == 1
+    assert store.apply(one(4, "put", "a", "late-old"), versions=True, batch=("s", 1)) == 1
+    assert store.get("a") == (True, "new")
+    store.flush()
+    assert store.apply(one(3, "put", "a", "later-old"), versions=True, batch=("s", 2)) == 1
+    assert store.get("a") == (True, "new") and rows(store.scan()) == [("a", "new")] and store.get_many(["a"]).first().value == "new"
+    assert store.apply(one(9, "put", "a", "again"), versions=True, batch=("s", 2)) == 0 and store.get("a") == (True, "new")
+    store.put("a", "session")  # behind all that is stored
+    assert store.get("a") == (True, "session")
+    store.apply(one(20, "del", "a"), versions=True)
+    store.compact()
+    assert store.apply(one(19, "put", "a", "older than the compaction"), versions=True, batch=("s", 3)) == 0
+    assert store.get("a") == (False, None) and store.apply(one(21, "put", "a", "x"), versions=True, batch=("t", 0)) == 1 and rows(store.scan()) == [("a", "x")]
+
+
+def test_one_of_two_racing_writers_commits(spark, tmp_path):
+    path, done = f"file://{tmp_path}/race", []
+
+    def write(name, barrier):
+        mine = Store(spark, path)
+        m = mine.manifest()
+        barrier.wait()
+        try:
+            mine._commit(m | {"cut": name})
+            done.append(name)
+        except LaminaError as error:
+            assert error.kind is Kind.REQUEST
+
+    for turn in range(20):
+        barrier, before = threading.Barrier(4), len(done)
+        threads = [threading.Thread(target=write, args=(4 * turn + i, barrier)) for i in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        m = Store(spark, path).manifest()
+        assert len(done) == before + 1 and (m["version"], m["cut"]) == (turn + 1, done[-1])
+    assert not [f for f in os.listdir(tmp_path / "race/manifest") if f.startswith("_")]
+
+
+def test_damaged_and_missing_parts_are_found(spark, store, tmp_path):
+    store.apply(batch(spark, *((f"k{i:04d}", "put", f"v{i}") for i in range(400))))
+    store.flush()
+    store.put("z", "1")
+    assert [t["keys"] for t in store.verify()["tables"]] == [400]
+    folder = tmp_path / "s/tables/000001"
+    part = next(f for f in sorted(folder.iterdir()) if f.name.startswith("part-"))
+    whole = part.read_bytes()
+    (folder / f".{part.name}.crc").unlink(missing_ok=True)
+    for at in (4, 40, len(whole) // 2, len(whole) - 20):
+        part.write_bytes(whole[:at] + bytes([whole[at] ^ 90]) + whole[at + 1 :])
+        with fails(Kind.DATA):
+            store.verify()
+    part.write_bytes(whole[:-1])
+    with fails(Kind.DATA, "files are not"):
+        store.get("k0001")
+    part.unlink()
+    for read in (store.verify, store.scan, store.stats):
+        with fails(Kind.DATA, "files are not"):
+            read()
+    part.write_bytes(whole)
+    assert store.verify()["wal"]["truncatedBytes"] == 0
+    # what a writer leaves that stops before its commit
+    lost = tmp_path / "s/log/000000000009-dead"
+    lost.mkdir(parents=True)
+    (lost / "part-0.parquet").write_bytes(b"x" * 70)
+    assert store.verify()["wal"]["truncatedBytes"] == 70 and store.stats()["walTruncatedBytes"] == 70
+    assert store.vacuum() == 2 and store.verify()["wal"]["truncatedBytes"] == 0 and store.get("z") == (True, "1")
+
+
+def test_compaction_numbers_keys_of_many_files(spark, store):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = spark.range(400_000).select(F.col("id").alias("ord"), F.sha1(F.col("id").cast("string")).alias("key"), F.lit("put").alias("op"), F.lit("v").alias("value"))
+        store.apply(keys)
+        table = store.compact()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert table["keys"] == 400_000 and len(store.manifest()["tables"][0]["files"]) > 1
+    placed = store.numbered(table["table"])
+    span = placed.agg(F.count_distinct("ord").alias("d"), F.min("ord").alias("low"), F.max("ord").alias("high")).first()
+    assert tuple(span) == (400_000, 1, 400_000)
+    assert [r.key for r in placed.orderBy("ord").limit(500).collect()] == [r.key for r in keys.select("key").orderBy("key").limit(500).collect()]
