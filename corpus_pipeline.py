@@ -1,8 +1,8 @@
 """The training-corpus pipeline: five stages over ``documents``.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
-the rows are written as Parquet and read again, so a stage depends on no
-shuffle file or executor of the one before.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame over Parquet that
+it has written to the shared folder, so a stage depends on no shuffle file or
+executor of the one before.
 """
 
 from __future__ import annotations
@@ -10,33 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import decontaminate, jaccard_join, langid, mixing, pii
-from lamina.llm.storage import cut, small_batches, table
+from lamina.llm.storage import cut, remove, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or near no learned language, go."""
-    small_batches(spark)
-    return langid.keep_known(docs)
+    with scratch(spark) as keep:
+        return keep(cut(langid.keep_known(docs), "language_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link at a Jaccard similarity of 0.8, the one with the least id stays."""
-    return jaccard_join.deduplicate(docs)
+    with scratch(spark) as keep:
+        return keep(cut(jaccard_join.deduplicate(docs), "near_duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    with scratch(spark) as keep:
+        return keep(cut(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), "decontamination"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced in the text, and n_chars follows it."""
-    return pii.redact(docs)
+    with scratch(spark) as keep:
+        return keep(cut(pii.redact(docs), "private_data"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document's words are taken into the mix."""
-    return mixing.mix(docs)[0]
+    with scratch(spark) as keep:
+        return keep(cut(mixing.mix(docs)[0], "source_mix"))
 
 
 STAGES = [
@@ -53,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for _, stage in STAGES:
+        before, docs = getattr(docs, "cut_path", None), stage(spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
     return docs
