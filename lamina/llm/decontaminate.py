@@ -13,8 +13,10 @@ punctuation and case do not count). Steps, all inside one map-only pass:
    moves. Edit distance becomes Hamming distance of the walks.
 3. Bit sampling: the words at a few random steps are a bucket key. Window and
    item with equal keys in any of many repeats are candidates. The number of
-   repeats is set so that items with the most edits allowed are found with
-   probability ``RECALL`` (measured on edited copies of the items).
+   repeats is set for each item size so that items with the most edits allowed
+   are found with probability ``RECALL`` (measured on edited copies of items of
+   that size). Where ``MOST_REPEATS`` do not reach that, all windows that pass
+   the count filter are verified against all items of the size.
 4. Candidates are verified by exact edit distance (bit-parallel, approximate
    string search of the item in the words around the window).
 
@@ -23,7 +25,8 @@ each slice is one pass over the documents, so nothing that is broadcast grows
 beyond that bound. Texts never move between tasks.
 
 Defined results: null and empty texts match nothing, and neither do items of
-fewer than ``MIN_WORDS`` words; of several matches of one item in a document
+fewer than ``MIN_WORDS`` words (too short to be a passage; a parameter of this
+module); of several matches of one item in a document
 the least distance and then the first place counts; a null doc_id or item_id
 is carried; repeated rows are matched each; an empty table or benchmark gives
 no matches; other columns are ignored (or kept, by ``clean``).
@@ -39,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.storage import table
+from lamina.llm.storage import cut, scratch, table
 from lamina.llm.vectors import NOT_ALNUM, Words, mix, pieces, text_bytes
 
 RATIO, MIN_WORDS = 0.2, 5
 RECALL, SAMPLES, MOST_REPEATS, SEED = 0.99, 3, 256, 7
 SLICE_MB = 16
+#: Edited items of a size, and repeats, by which the rate of collisions is measured.
+TRIALS = 64
 #: Windows embedded at a time.
 WINDOWS = 1 << 13
 
@@ -60,7 +65,7 @@ class Index:
     pairs: np.ndarray  # sorted codes of the items' word pairs
     pair_first: np.ndarray  # pair i occurs in items of the sizes
     pair_sizes: np.ndarray  # sizes[pair_sizes[pair_first[i] : pair_first[i + 1]]]
-    repeats: int
+    repeats: dict[int, int]  # of each size; 0 where windows are compared with all items of the size
     buckets: dict[int, tuple[np.ndarray, np.ndarray]]  # size -> sorted keys, items
 
 
@@ -111,22 +116,15 @@ def _edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def repeats_for(items: list[np.ndarray], recall: float, ratio: float) -> int:
-    """Repeats that find items with the most edits with probability ``recall``."""
+    """Repeats that find items (of one size) with the most edits with probability ``recall``; 0 if ``MOST_REPEATS`` do not."""
     rng = np.random.default_rng(SEED)
-    trial = 64
-    rates = []
-    for words in items[:200]:  # the estimate needs no more
-        k = int(edits(len(words), ratio))
-        pair = np.stack([words, _edited(words, k, rng)])
-        got = keys(pair, trial)
-        rates.append((got[0] == got[1]).mean())
-    if not rates:
-        return 1
-    rates = np.maximum(np.array(rates), 0.5 / trial)
-    for r in range(1, MOST_REPEATS):
+    some = np.stack((items * -(-TRIALS // len(items)))[: max(TRIALS, min(len(items), 4 * TRIALS))])
+    worst = np.stack([_edited(words, int(edits(len(words), ratio)), rng) for words in some])
+    rates = (keys(some, TRIALS) == keys(worst, TRIALS)).mean(axis=1)
+    for r in range(1, MOST_REPEATS + 1):
         if 1 - np.mean((1 - rates) ** r) >= recall:
             return r
-    return MOST_REPEATS
+    return 0
 
 
 def build(rows: list, ratio: float = RATIO, recall: float = RECALL) -> Index:
@@ -141,12 +139,15 @@ def build(rows: list, ratio: float = RATIO, recall: float = RECALL) -> Index:
     pair, pair_sizes = np.divmod(np.unique(np.concatenate(both)) if items else np.zeros(0, np.int64), len(sizes) + 1)
     pairs, pair_first = np.unique(pair, return_index=True)
     pair_first = np.append(pair_first, len(pair))
-    repeats = repeats_for(items, recall, ratio)
-    buckets = {}
+    buckets, repeats = {}, {}
     for n in sorted({len(x) for x in items}):
         own = [i for i, x in enumerate(items) if len(x) == n]
-        k = keys(np.stack([items[i] for i in own]), repeats)
-        flat, item = k.ravel(), np.repeat(own, repeats)
+        repeats[n] = repeats_for([items[i] for i in own], recall, ratio)
+        if not repeats[n]:
+            buckets[n] = np.zeros(0, np.uint64), np.array(own)
+            continue
+        k = keys(np.stack([items[i] for i in own]), repeats[n])
+        flat, item = k.ravel(), np.repeat(own, repeats[n])
         order = np.argsort(flat, kind="stable")
         buckets[n] = flat[order], item[order]
     return Index([x[0] for x in found], items, sizes, vocabulary, pairs, pair_first, pair_sizes, repeats, buckets)
@@ -198,12 +199,17 @@ def matches(text: pa.Array, index: Index, ratio: float = RATIO) -> list[tuple[in
         if not part:
             return
         bucket, item = index.buckets[n]
+        if not index.repeats[n]:  # exact: every window that passed the count filter with every item
+            for row, at, _ in part:
+                for i in item.tolist():
+                    found.setdefault((row, i), []).append(at)
+            return
         for a in range(0, len(part), WINDOWS):
             some = part[a : a + WINDOWS]
-            got = keys(np.stack([x[2] for x in some]), index.repeats)
+            got = keys(np.stack([x[2] for x in some]), index.repeats[n])
             lo, hi = np.searchsorted(bucket, got.ravel(), "left"), np.searchsorted(bucket, got.ravel(), "right")
             for hit in np.flatnonzero(hi > lo):
-                row, at, _ = some[hit // index.repeats]
+                row, at, _ = some[hit // index.repeats[n]]
                 for i in set(item[lo[hit] : hi[hit]].tolist()):
                     found.setdefault((row, i), []).append(at)
 
@@ -328,4 +334,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, recall: f
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    with scratch(spark) as keep:
+        return keep(cut(contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "matches"))

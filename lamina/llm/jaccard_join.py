@@ -62,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.errors import CorruptionError
+from lamina.errors import corrupt
 from lamina.llm.components import components
 from lamina.llm.joins import hot_values, spread_join
 from lamina.llm.storage import cut, rows_of, scratch, table
@@ -534,7 +534,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
         if mixed.isEmpty() or not _collide(docs, rows, mixed, seed):
             rows.cut_path, rows.cut_rows = told.cut_path, rows_of(told)  # or less
             return rows, classes, _hot_signatures(told, rows_of(told)), seed
-    raise CorruptionError("different sets share a key", seeds=SEEDS)
+    raise corrupt("different sets share a key", seeds=SEEDS)
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:

@@ -16,7 +16,8 @@ over whole texts.
 Defined results: a text that is null or has no letter gives ``und`` with score
 0, and so does every text if nothing can be learned; a null doc_id keeps its
 row, counts as not held out and is not learned from; repeated rows stay; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored. A text of any length is
+ranked whole, in one task, with memory that follows its length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.storage import table
+from lamina.llm.storage import cut, scratch, table
 from lamina.llm.vectors import code_points, pieces
 
 TOP, LONGEST, SAMPLE = 300, 3, 1000  # LONGEST is 3 at most
@@ -116,9 +117,9 @@ def _ranked(row: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE, longest: int = LONGEST) -> dict[str, np.ndarray]:
     """language -> keys in order of rank, from rows that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    # hashes are spread evenly, so those below twice the share that is wanted
-    # hold the least ``sample``; only they are dealt by language
-    total = usable.groupBy("lang").agg(F.count("*").alias("total")).select(F.col("lang").alias("_lang"), "total")
+    # hashes are spread evenly over the doc_ids, so those below twice the share
+    # that is wanted hold the least ``sample``; only they are dealt by language
+    total = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("total")).select(F.col("lang").alias("_lang"), "total")
     h, edge = F.xxhash64("doc_id"), 2.0**64 * (2.0 * sample + 100) / F.col("total") - 2.0**63
     # sent: a row for each language, of which the driver holds the profiles too;
     # a planned merge join would deal all rows by language before it is dropped
@@ -212,5 +213,6 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), profiles(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    with scratch(spark) as keep:
+        found = identify(docs.select("doc_id", "text"), profiles(docs))
+        return keep(cut(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), "languages"))

@@ -121,7 +121,7 @@ def placed(rows: DataFrame) -> DataFrame:
         F.col("source").alias("cs"), F.col("bucket").alias("cb"), (F.col("before") + F.col("above")).alias("base")
     )
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(chunk, _same(F.col("source"), F.col("cs")) & (F.col("bucket") == F.col("cb")))
+    rows = rows.join(chunk.hint("merge"), _same(F.col("source"), F.col("cs")) & (F.col("bucket") == F.col("cb")))
     return rows.withColumn("at", F.col("at") + F.col("base")).select("doc_id", "source", "size", "at")
 
 
@@ -227,7 +227,7 @@ def mix(
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
     of = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    joined = of.withColumn("words", words).join(times, ["sid", "block"], "left")
+    joined = of.withColumn("words", words).join(times.hint("merge"), ["sid", "block"], "left")  # as many as there are blocks
     # a row with words is told from others of its source by where it begins
     taken = joined.groupBy("sid", "at", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
     none = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))

@@ -18,7 +18,8 @@ Defined results: null and empty texts have no words, so the base rules fail
 them; without documents to grow trees, or without labels of both kinds, the
 method rejects nothing; null labels are ignored; a doc_id with several labels
 counts with each; a null doc_id keeps its row; repeated rows stay; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. A text of any length is counted
+whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.storage import cut, table
+from lamina.llm.storage import cut, scratch, table
 from lamina.llm.vectors import SPACE, Words, pieces, row_sums, span_hash, text_bytes, windows
 
 TREES, SUBSAMPLE, SEED = 100, 256, 11
@@ -231,4 +232,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    with scratch(spark) as keep:
+        return keep(cut(judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "judged"))

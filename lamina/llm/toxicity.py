@@ -9,15 +9,16 @@ the scaled features. A score is the logistic function of the sum.
 
 Learning uses at most ``SAMPLE`` labelled rows (those with the least hashes of
 doc_id; the bound is a parameter) out of those whose hash remainder is not 0.
-Their n-grams are made and counted in Spark; one task fits the ``FEATURES``
-weights of the most telling n-grams. Scoring is one map-only pass over whole
+Their n-grams are made and counted in Spark. Of those that ``LEAST_TEXTS`` or
+more of the texts have, one task fits the weights of the ``FEATURES`` with the
+greatest log-count ratios (both are parameters of the fit). Scoring is one map-only pass over whole
 texts with a table of weights of a fixed size.
 
 Defined results: null and empty texts get the score of a text without features;
 without labels of both kinds every score is the share of toxic labels (0 without
 any); null labels and null doc_ids are not learned from; a null doc_id keeps
 its row and counts as not held out; repeated rows stay; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. A text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.langid import _fold, held_out
-from lamina.llm.storage import cut, table
+from lamina.llm.storage import cut, scratch, table
 from lamina.llm.vectors import code_points, mix, pieces
 
 SHORTEST, LONGEST, BITS = 3, 5, 22
 SAMPLE, FEATURES, LEAST_TEXTS = 20_000, 40_000, 3
+#: Labelled texts that one task counts.
+TEXTS = 1250
 SCALE, SMOOTH, PENALTY, STEPS = 50.0, 0.2, 1e-3, 400
 
 
@@ -116,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # ``sample`` rows of two numbers; a doc_id with several texts counts with the least
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    rows = cut(rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).repartition(16, "_id"), "labelled")
+    rows = cut(rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).repartition(1 + sample // TEXTS, "_id"), "labelled")
     shares = rows.agg(F.count("*"), F.sum("_toxic")).first()
     bad, good = shares[1] or 0, shares[0] - (shares[1] or 0)
     if not bad or not good:
@@ -192,5 +195,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    with scratch(spark) as keep:
+        out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+        out = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return keep(cut(out, "scores"))

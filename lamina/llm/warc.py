@@ -36,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.errors import CorruptionError
-from lamina.llm.storage import cut, new_path, table
+from lamina.errors import corrupt
+from lamina.llm.joins import spread_join
+from lamina.llm.storage import cut, new_path, rows_of, scratch, small_batches, table
 
 #: Bytes of a chunk of records, and of a block that is searched for starts.
 CHUNK, BLOCK = 4 << 20, 1 << 20
 #: Groups of equal payloads that are sent to the pages; beyond it they are joined.
-BROADCAST_GROUPS = 500_000
+BROADCAST_GROUPS = 200_000
 END = b"\r\n\r\n"
 MAGIC, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 #: Bytes of header of a start that no record's end lies before, which is on no chain.
@@ -87,12 +88,11 @@ def write_archives(pages: DataFrame, path: str, compressed: bool = True, least:
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
+    ).withColumn("sha", F.unhex(F.sha1("payload")))
     groups = pages.where(F.length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     groups = cut(groups.where("n > 1 and top is not null").select("sha", "top"), "payloads")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    pages = pages.join(groups, "sha", "left").select(
+    few = rows_of(groups) <= BROADCAST_GROUPS
+    pages = (pages.join(F.broadcast(groups), "sha", "left") if few else spread_join(pages, groups, "sha", "left")).select(
         "page_id", "url", "payload", "top", (F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).alias("again")
     )
 
@@ -113,7 +113,8 @@ def write_archives(pages: DataFrame, path: str, compressed: bool = True, least:
 
     closing = (EMPTY_MEMBER if compressed else END).decode("latin-1")
     chunks = pages.mapInArrow(pack, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
-    chunks.write.option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").text(path)
+    with small_batches(pages.sparkSession):
+        chunks.write.option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").text(path)
     return path
 
 
@@ -206,47 +207,53 @@ def candidates(content: bytes, block: int = BLOCK) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """The records on the chain from each file's start, with file and offset."""
+    """The records on the chain from each file's start, with the file's name and the offset."""
+    # files go by a number, so that no table of offsets carries names
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").option("recursiveFileLookup", "true").load(path)
-        .where("length > 0").select(F.col("path").alias("file"), "length", "content")
-    )
+        .where("length > 0").select(F.xxhash64("path").alias("file"), "path", "length", "content")
+    )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file, content in zip(pdf["file"], pdf["content"], strict=True):
+            for file, name, content in zip(pdf["file"], pdf["path"], pdf["content"], strict=True):
                 rows: list[dict] = []
                 for row in candidates(bytes(content), block):
-                    rows.append({"file": file, **row})
+                    rows.append({"file": file, "path": name, **row})
                     if len(rows) == 2000:
                         yield pd.DataFrame(rows)
                         rows = []
                 if rows:
                     yield pd.DataFrame(rows)
 
-    schema = f"file string, block long, offset long, successor long, exit long, record struct<{_RECORD.replace(' ', ': ').replace(',:', ',')}>"
-    found = cut(files.select("file", "content").mapInPandas(lambda it: (df[["file", "block", "offset", "successor", "exit", "record"]] for df in search(it)), schema), "starts")
+    columns = ["file", "path", "block", "offset", "successor", "exit", "record"]
+    schema = f"file long, path string, block long, offset long, successor long, exit long, record struct<{_RECORD.replace(' ', ': ').replace(',:', ',')}>"
+    found = cut(files.select("file", "path", "content").mapInPandas(lambda it: (df[columns] for df in search(it)), schema), "starts")
 
-    # pointer jumping: after n rounds the first 2 ** n blocks' entries are known
+    # Pointer jumping: after n rounds the first 2 ** n blocks' entries are known.
+    # The tables have a row for each candidate and are merged: none is broadcast.
+    at = ["file", "offset"]
+    starts = found.select(*at).hint("merge")
     jump = found.select("file", "offset", F.col("exit").alias("to"))
-    reached = cut(found.where("offset = 0").select("file", "offset"), "reached")
+    reached = cut(found.where("offset = 0").select(*at), "reached")
     while True:
-        more = reached.join(jump, ["file", "offset"]).select("file", F.col("to").alias("offset"))
-        more = cut(more.join(found.select("file", "offset"), ["file", "offset"], "left_semi").join(reached, ["file", "offset"], "left_anti"), "reached")
-        if more.isEmpty():
+        more = reached.hint("merge").join(jump, at).select("file", F.col("to").alias("offset"))
+        more = cut(more.join(starts, at, "left_semi").join(reached.hint("merge"), at, "left_anti"), "reached")
+        if not rows_of(more):
             break
         reached = cut(reached.unionAll(more), "reached")
         nxt = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("then"))
-        jump = cut(jump.join(nxt, ["file", "to"]).select("file", "offset", F.col("then").alias("to")), "jump")
+        jump = cut(jump.join(nxt.hint("merge"), ["file", "to"]).select("file", "offset", F.col("then").alias("to")), "jump")
 
-    ends = found.join(reached, ["file", "offset"], "left_semi").groupBy("file").agg(F.max("exit").alias("end"))
-    broken = files.select("file", "length").join(ends, "file", "left").where("end is null or end <> length").take(1)
+    ends = found.join(reached.hint("merge"), at, "left_semi").groupBy("file", "path").agg(F.max("exit").alias("end"))
+    whole = files.select("file", "path", "length").hint("merge")
+    broken = whole.join(ends, ["file", "path"], "left").where("end is null or end <> length").take(1)
     if broken:
-        raise CorruptionError("the records of an archive end before its end", file=broken[0].file, end=broken[0].end, length=broken[0].length)
+        raise corrupt("the records of an archive end before its end", file=broken[0].path, end=broken[0].end, length=broken[0].length)
 
     # inside a block the chain is followed from its one entry
     entries = reached.select("file", F.col("offset").alias("entry"), F.floor(F.col("offset") / block).alias("block"))
-    held = found.join(entries, ["file", "block"]).select("file", "block", "entry", "offset", "successor")
+    held = found.join(entries.hint("merge"), ["file", "block"]).select("file", "block", "entry", "offset", "successor")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         after, on = dict(zip(pdf["offset"], pdf["successor"], strict=True)), []
@@ -256,16 +263,18 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
             at = int(after[at])
         return pd.DataFrame({"file": pdf["file"].iloc[0], "offset": np.array(on, dtype=np.int64)})
 
-    chain = held.groupBy("file", "block", "entry").applyInPandas(walk, "file string, offset long")
-    kept = found.join(chain, ["file", "offset"]).where("record is not null")
-    return kept.select("record.*", "file", "offset")
+    chain = held.groupBy("file", "block", "entry").applyInPandas(walk, "file long, offset long")
+    kept = found.join(chain.hint("merge"), at).where("record is not null")
+    return kept.select("record.*", F.col("path").alias("file"), "offset")
 
 
 def archived(pages: DataFrame, compressed: bool = True) -> DataFrame:
     """Write the pages and read their records back."""
     spark = pages.sparkSession
-    path = write_archives(pages, new_path(spark, "warc"), compressed)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+    with scratch(spark) as keep:
+        path = write_archives(pages, new_path(spark, "warc"), compressed)
+        kept = read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+        return keep(cut(kept, "records"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

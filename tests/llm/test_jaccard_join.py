@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from lamina.errors import LaminaError
 from lamina.llm import jaccard_join
 from lamina.llm.components import components
 from lamina.llm.jaccard_join import candidates_in, deduplicate, joined
@@ -136,7 +137,7 @@ def test_a_shared_key_is_found_out(make, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in joined(make(rows)).collect())
     assert got == brute(rows)
     monkeypatch.setattr(j, "sets_of", lambda text, seed=0: [x // 2**62 if n == 1 else x for n, x in enumerate(real(text, seed))])
-    with pytest.raises(j.CorruptionError):
+    with pytest.raises(LaminaError):
         joined(make(rows))
 
 

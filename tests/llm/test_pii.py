@@ -1,6 +1,11 @@
 import hashlib
+import itertools
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from lamina.llm import pii
 from lamina.llm.pii import find_pii, redact
 
 BASE = {
@@ -69,3 +74,36 @@ def test_context_moves_the_score_and_rows_stay(make):
 def test_redact(make):
     rows = [(1, "é a@b.cc and +1 (017) 555-7713!"), (2, None), (3, "clean")]
     assert {r.doc_id: r.text for r in redact(make(rows)).collect()} == {1: "é [EMAIL] and [PHONE]!", 2: None, 3: "clean"}
+
+
+def test_running_folds(spark):
+    for n in (0, 1, 31, 32, 33, 1024, 1025, 33_000):
+        values = [i * 7 % 11 for i in range(n)]
+        got = spark.createDataFrame([(values,)], "a array<int>").select(pii._running(F.col("a"), F.lit(5), lambda x, y: x + y)).first()[0]
+        assert got == list(itertools.accumulate([5, *values[:-1]]))[:n]
+
+
+def test_very_many_spans_cost_linear_time(make):
+    """100,000 spans in a text: a quadratic fold would take some ten minutes."""
+    text = "ab@c.de " * 100_000
+    began = time.perf_counter()
+    row = find_pii(make([(1, text)])).first()
+    assert row.n_email == 100_000 and row.spans.endswith("email:799992:799999") and (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == brute(text)
+    assert redact(make([(1, text)])).first().text == "[EMAIL] " * 100_000
+    assert time.perf_counter() - began < 120
+
+
+def test_redact_matches_brute_force(spark, make, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(make([(10_000 + i, t) for i, t in enumerate(ODD)]))
+    spans = {r.doc_id: r.spans for r in find_pii(docs).collect()}
+    before = dict(docs.collect())
+    for doc_id, text in redact(docs).collect():
+        if before[doc_id] is None:
+            assert text is None
+            continue
+        out, at = [], 0
+        for a, b, k in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans[doc_id].split(",") if x)):
+            if a >= at:
+                out += [before[doc_id][at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert text == "".join(out) + before[doc_id][at:]
