@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.joins import spread_join
-from lamina.llm.storage import cut, scratch, table
+from lamina.llm.storage import cut, rows_of, table
 
 BROADCAST_HOSTS = 200_000
 #: Characters outside the host's path from which a page goes by its own container.
@@ -336,7 +336,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, path) of each page."""
     found = cut(blocks(pages), "blocks")
     best = cut(winners(found), "winners")
-    few = best.count() <= BROADCAST_HOSTS
+    few = rows_of(best) <= BROADCAST_HOSTS
     known = found.join(F.broadcast(best), "host", "left") if few else spread_join(found, best, "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,5 +356,4 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with scratch(spark) as keep:
-        return keep(cut(extracted(table(spark, sf_dir, "pages")), "text"))
+    return extracted(table(spark, sf_dir, "pages"))

@@ -67,7 +67,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path, counted = new_path(spark, label), Observation()
     with small_batches(spark):
-        df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(counted, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path, out.cut_rows = path, counted.get.get("n")
     return out
