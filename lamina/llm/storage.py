@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -11,6 +9,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.sources.shared import file_system, fresh_dir
+
 #: Rows of text in an Arrow batch: few, since the JVM and Python each hold one whole.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -30,31 +30,16 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.
-
-    Only where that is unset and all tasks run on this machine, a local folder
-    is made and remembered in the session.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lamina.local.shared", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        conf = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("lamina.local.shared", conf)
-    return conf.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/lamina-{label}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, label)
     if _held.get() is not None:
         _held.get().append(path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
