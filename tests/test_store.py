@@ -13,7 +13,7 @@ from lamina.errors import Kind, LaminaError
 from lamina.functions import codec
 from lamina.model import CHANGE
 from lamina.operators import recover, resolve
-from lamina.sources import tables
+from lamina.sources import shared, tables
 from lamina.sources.store import Store
 from lamina.streaming.latest import into_store, latest
 
@@ -289,3 +289,16 @@ def test_compaction_numbers_keys_of_many_files(spark, store):
     span = placed.agg(F.count_distinct("ord").alias("d"), F.min("ord").alias("low"), F.max("ord").alias("high")).first()
     assert tuple(span) == (400_000, 1, 400_000)
     assert [r.key for r in placed.orderBy("ord").limit(500).collect()] == [r.key for r in keys.select("key").orderBy("key").limit(500).collect()]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://head:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+    assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
