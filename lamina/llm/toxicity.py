@@ -98,12 +98,22 @@ def _fit(keys: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, us
     # full-batch Adam on the penalised logistic loss, classes weighted alike
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     scaled = value * ratio[col]
+    # the same numbers by column, so that both sums of a step run over neighbours
+    order = np.argsort(col, kind="stable")
+    by_row, by_col = np.flatnonzero(np.diff(row, prepend=-1)), np.flatnonzero(np.diff(col[order], prepend=-1))
+    rows, cols = row[by_row], col[order][by_col]
+    row_of, scaled_of, part = row[order], scaled[order], np.empty(len(col))
+    z_of, gw_of = np.zeros(len(keys)), np.zeros(len(usable))
     w, b = np.full(len(usable), 0.1), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, weights=scaled * w[col], minlength=len(keys)) + b
+        np.multiply(np.take(w, col, out=part, mode="clip"), scaled, out=part)
+        z_of[rows] = np.add.reduceat(part, by_row)
+        z = z_of + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
-        gw = np.bincount(col, weights=scaled * g[row], minlength=len(w)) + PENALTY * w
+        np.multiply(np.take(g, row_of, out=part, mode="clip"), scaled_of, out=part)
+        gw_of[cols] = np.add.reduceat(part, by_col)
+        gw = gw_of + PENALTY * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
